@@ -5,9 +5,11 @@
    aggregation and go no further.
 2. Bands that two or more classes share give candidates. Nothing is emitted for all pairs of a band:
    its smallest member is compared with the others first. Classes thereby joined need no more
-   comparing, so later rounds compare, in bands that still hold several components, only members
-   outside the largest one with members of other components, until no such band is left.
-3. A candidate pair's signatures are compared in batches of ``BATCH`` hashes. After each batch the
+   comparing. In a second round small bands that still hold several components list their pairs of
+   different components; large ones are joined to clusters and compare, in pairs of small blocks, a
+   cluster's documents outside its largest component with all others. A pair of blocks returns only
+   links that connect components.
+3. In both rounds a candidate pair's signatures are compared in batches of ``BATCH`` hashes. After each batch the
    pair is dropped when the posterior probability that its similarity reaches the threshold (uniform
    prior, binomial matches) is under ``miss``. Survivors are confirmed on the full sets.
 4. Confirmed links feed the components; every document gets its class's component.
@@ -30,8 +32,8 @@ from weftwork.llm.common import Bloom, Scratch, batch_of, binary_array, chunks,
 from weftwork.llm.components import components
 
 BANDS, ROWS, BATCH = 32, 5, 32
-#: Pivots that a band takes in the second round; each later round takes eight times as many.
-PIVOTS = 8
+#: In the second round: documents of a band of which pairs are listed; documents of a block, of which a task compares two.
+FEW, BLOCK = 16, 64
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,29 +221,104 @@ def _link(scratch: Scratch, active: DataFrame, payload: DataFrame, percent: int,
     pairs = scratch.write(active.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "pairs-0")
     links = confirmed(pairs, "links-0")
     found = scratch.write(components(scratch, links, "a", "b", "round-0").select(F.col("node").alias("doc"), "component"), "found-0")
-    rest, tested, pivots, n = active.select("band", "doc"), pairs, PIVOTS, 0
-    while True:
-        n += 1
-        rest = scratch.write(rest.join(found, "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("component")), f"rest-{n}")
-        counted = rest.groupBy("band", "component").agg(F.count("*").alias("n"))
-        bands = counted.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1")
-        bands = scratch.write(bands.select("band", "main", F.ceil((F.col("n") - F.col("most")) / pivots).alias("every")), f"bands-{n}")
-        if bands.isEmpty():
-            return found
-        rest = scratch.write(rest.join(bands, "band").withColumn("pivot", (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("doc", F.lit(n)), F.col("every")) == 0)).select("band", "doc", "component", "pivot"), f"marked-{n}")
-        chosen = rest.where("pivot").select("band", F.col("doc").alias("p"), F.col("component").alias("p_component"))
-        pairs = rest.join(chosen, "band").where("component != p_component").select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct()
-        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{n}")
-        links = confirmed(pairs, f"links-{n}")
-        tested, pivots = tested.union(pairs), pivots * 8
-        named = found.select(F.col("doc").alias("k"), F.col("component").alias("kc"))
-        ends = links.join(named.withColumnsRenamed({"k": "a", "kc": "ac"}), "a", "left").join(named.withColumnsRenamed({"k": "b", "kc": "bc"}), "b", "left")
-        ends = ends.select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
-        merged = components(scratch, ends, "a", "b", f"round-{n}").select(F.col("node").alias("component"), F.col("component").alias("root"))
-        grown = found.join(merged, "component", "left").select("doc", F.coalesce("root", "component").alias("component"))
-        fresh = merged.select(F.col("component").alias("doc"), F.col("root").alias("component")).join(found.select("doc"), "doc", "left_anti")
-        found = scratch.write(grown.union(fresh), f"found-{n}")
-        rest = rest.where("NOT pivot").select("band", "doc")
+    rest = _rest(scratch, active, found)
+    if rest is None:
+        return found
+    cold, blocks = rest
+    links = confirmed(cold, "links-1")
+    if blocks is not None:
+        links = links.union(scratch.write(blocks.join(payload, "doc").groupBy("cluster", "pair").applyInArrow(_block_pair(percent, miss), "a long, b long"), "links-2"))
+    named = found.select(F.col("doc").alias("k"), F.col("component").alias("c"))
+    ends = links.join(named.select(F.col("k").alias("a"), F.col("c").alias("ac")), "a", "left").join(named.select(F.col("k").alias("b"), F.col("c").alias("bc")), "b", "left")
+    ends = ends.select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    merged = components(scratch, ends, "a", "b", "round-1").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    grown = found.join(merged, "component", "left").select("doc", F.coalesce("root", "component").alias("component"))
+    fresh = merged.select(F.col("component").alias("doc"), F.col("root").alias("component")).join(found.select("doc"), "doc", "left_anti")
+    return scratch.write(grown.union(fresh), "found-1")
+
+
+def _rest(scratch: Scratch, active: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame | None] | None:
+    """What is still to be compared: pairs (a, b), and (cluster, pair, doc, component) dealt to pairs of blocks.
+
+    Only bands that still hold several components count. Of those of up to ``FEW`` documents, pairs from
+    different components are listed. Larger ones, joined where they share a document, make clusters, in which
+    the largest component needs no comparing within itself: its blocks meet only those of the cluster's other
+    documents, which also meet each other.
+    """
+    whole = active.select("band", "doc").union(active.select("band", F.col("pivot").alias("doc")).distinct())
+    labelled = scratch.write(whole.join(found, "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("component")), "labelled")
+    bands = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("doc").alias("pivot"), F.count("*").alias("n"))
+    bands = scratch.write(bands.where("x < y").select("band", "pivot", "n"), "mixed")
+    if bands.isEmpty():
+        return None
+    few = scratch.write(labelled.join(bands.where(F.col("n") <= FEW), "band").select("band", "doc", "component"), "few")
+    other = few.select("band", F.col("doc").alias("b"), F.col("component").alias("b_component"))
+    cold = scratch.write(few.join(other, "band").where("doc < b AND component != b_component").select(F.col("doc").alias("a"), "b").distinct(), "pairs-1")
+    held = scratch.write(labelled.join(bands.where(F.col("n") > FEW), "band").select("doc", "component", "pivot").distinct(), "held")
+    if held.isEmpty():
+        return cold, None
+    clusters = components(scratch, held, "doc", "pivot", "clusters").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    docs = scratch.write(held.select("doc", "component").distinct().join(clusters, "doc"), "clustered")
+    sizes = docs.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    docs = docs.join(scratch.write(sizes.where("most < n"), "sizes"), "cluster")
+    docs = docs.withColumn("own", F.when(F.col("component") == F.col("main"), "m").otherwise("s"))
+    mains, others = (F.ceil(c / BLOCK) for c in (F.col("most"), F.col("n") - F.col("most")))
+    docs = docs.withColumn("i", F.pmod(F.xxhash64("doc", F.lit(1)), F.when(F.col("own") == "m", mains).otherwise(others)))
+    with_other = F.transform(F.sequence(F.lit(0), others - 1), lambda j: F.when(F.col("own") == "m", F.concat(F.lit("m"), "i", F.lit("-"), j)).otherwise(F.concat(F.lit("s"), F.least("i", j), F.lit("-"), F.greatest("i", j))))
+    with_main = F.when(F.col("own") == "s", F.transform(F.sequence(F.lit(0), mains - 1), lambda j: F.concat(F.lit("m"), j, F.lit("-"), "i"))).otherwise(F.array().cast("array<string>"))
+    return cold, docs.select("cluster", F.explode(F.concat(with_other, with_main)).alias("pair"), "doc", "component")
+
+
+def _block_pair(percent: int, miss: float):
+    """Links between documents of different components in one pair of blocks, enough to connect what they connect."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    least = least_matches(percent / 100, miss)
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, parts = table.column("doc").to_numpy(), table.column("component").to_numpy()
+        signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(docs), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        x, y = np.triu_indices(len(docs), 1)
+        alive = (parts[x] != parts[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
+        x, y = x[alive], y[alive]
+        matches = np.zeros(len(x), np.int64)
+        for k, need in enumerate(least):
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            matches += (signed[x, part] == signed[y, part]).sum(axis=1)
+            keep = matches >= need
+            x, y, matches = x[keep], y[keep], matches[keep]
+        if not len(x):
+            return schema.empty_table()
+        used = np.unique(np.concatenate((x, y)))
+        row = np.zeros(len(docs), np.int64)
+        row[used] = np.arange(len(used))
+        _, column = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+        member = np.repeat(np.arange(len(used)), sizes[used])
+        both = np.zeros((len(used), len(used)), np.float64)
+        for first in range(0, int(column.max()) + 1, 1 << 14):
+            inside = (column >= first) & (column < first + (1 << 14))
+            holds = np.zeros((len(used), 1 << 14), np.float32)
+            holds[member[inside], column[inside] - first] = 1
+            both += holds @ holds.T
+        shared = both[row[x], row[y]]
+        linked = 100 * shared >= percent * (sizes[x] + sizes[y] - shared)
+        root = {c: c for c in parts.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for i, j in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
+            p, q = find(int(parts[i])), find(int(parts[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((int(docs[i]), int(docs[j])))
+        return pa.table(list(zip(*out, strict=True)) if out else [[], []], schema=schema)
+
+    return run
 
 
 def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
