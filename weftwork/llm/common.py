@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one numpy pass takes together; bounds a worker's memory.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_500_000
 
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 SHIFT = np.uint64(33)
@@ -75,10 +75,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str | None]]]:
+def chunks(texts: Iterable[str | None] | pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of about ``limit`` characters, each with the index of its first text. A longer text is a run alone."""
     first, run, chars = 0, [], 0
     for i, text in enumerate(texts):
+        if isinstance(text, pa.Scalar):
+            text = text.as_py()
         size = len(text) if text else 0
         if run and chars + size > limit:
             yield first, run

@@ -101,7 +101,7 @@ def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for first, texts in chunks(batch.column(1).to_pylist()):
+            for first, texts in chunks(batch.column(1)):
                 sets = [shingle_set(t, size) for t in texts]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bands = [None] * len(sets)
@@ -122,12 +122,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(schema, keys, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))
 
 
-def _payload(size: int):
+def _payload(size: int, wanted: Bloom):
     schema = pa.schema([("doc", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in chunks(batch.column(1).to_pylist()):
+            batch = batch.filter(pa.array(wanted.test(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            for first, texts in chunks(batch.column(1)):
                 sets = [(i, s) for i, t in enumerate(texts, first) if len(s := shingle_set(t, size))]
                 if sets:
                     signed = signatures([s for _, s in sets])
@@ -189,7 +190,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     found = classes.select("doc").where("false").select("doc", F.col("doc").alias("component"))
     if held:
         wanted = Bloom(spark, members, held)
-        payload = _wanted(texts.where("doc_id IS NOT NULL AND text IS NOT NULL"), wanted).mapInArrow(_payload(shingle_words), "doc long, signature binary, shingles binary")
+        payload = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_payload(shingle_words, wanted), "doc long, signature binary, shingles binary")
         payload = scratch.write(payload, "payload")
         found = _link(scratch, active, payload, percent, miss)
 
@@ -200,16 +201,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _wanted(texts: DataFrame, wanted: Bloom) -> DataFrame:
-    """Rows whose doc_id the filter knows; only the ids go to Python for this."""
-
-    @F.arrow_udf("boolean")
-    def known(ids: pa.Array) -> pa.Array:
-        return pa.array(wanted.test(ids.to_numpy(zero_copy_only=False).view(np.uint64)))
-
-    return texts.where(known("doc_id"))
-
-
 def _link(scratch: Scratch, active: DataFrame, payload: DataFrame, percent: int, miss: float) -> DataFrame:
     """(doc, component) of the documents that have a confirmed link. ``active``: band, doc, pivot (its smallest)."""
     verify = _verify(percent, miss)

@@ -138,7 +138,7 @@ def _gathered(docs: DataFrame, make: Callable[[list[str | None]], list[np.ndarra
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in chunks(batch.column(0).to_pylist(), RUN_CHARS):
+            for _, texts in chunks(batch.column(0), RUN_CHARS):
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x in make(texts)], [f"x{i}" for i in range(parts)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, net = shared.value
         for batch in batches:
-            for first, texts in chunks(batch.column(1).to_pylist()):
+            for first, texts in chunks(batch.column(1)):
                 doc, hashes, endings = word_codes(texts)
                 classes, within = vocabulary.classes(hashes, endings)
                 value = log_probabilities(net, windows(doc, classes), classes) + within

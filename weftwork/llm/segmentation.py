@@ -307,7 +307,7 @@ def sampled(docs: DataFrame, k: int = 2, tokenizer: str = TOKENIZER, with_ids: b
         vocabulary = pieces(tokenizer)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, texts in chunks(batch.column(1).to_pylist(), RUN_CHARS):
+            for first, texts in chunks(batch.column(1), RUN_CHARS):
                 own = keys[first : first + len(texts)]
                 seeds = mixed(np.array([(x if x is not None else -(1 << 62)) & (1 << 64) - 1 for x in own], np.uint64) + np.uint64(0x5851F42D4C957F2D))
                 out: list[list] = [[] for _ in fields]

@@ -77,7 +77,7 @@ def _ordered(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, li
     """A batch's texts by (doc_id, version), in runs."""
     ids, versions = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
     order = np.lexsort((versions, ids))
-    texts = batch.column(2).take(pa.array(order)).to_pylist()
+    texts = batch.column(2).take(pa.array(order))
     for first, run in chunks(texts):
         at = order[first : first + len(run)]
         yield ids[at], versions[at], run
@@ -170,7 +170,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
     for batch in batches:
         ids, texts, repeats = batch.column("doc_id"), batch.column("text"), batch.column("repeats")
-        for first, run in chunks(texts.to_pylist()):
+        for first, run in chunks(texts):
             total, removed, kept = [], [], []
             for text, spans in zip(run, repeats.slice(first, len(run)).to_pylist(), strict=True):
                 parts = words(text) if text else []
