@@ -1,12 +1,496 @@
-"""Registered queries of the tile operators and the equivalent SQL."""
+"""Registered queries of the tile operators and the equivalent SQL.
+
+Doubles are rounded to six decimals, since the order of sums differs between engines.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from weftwork.functions import affine, text, units
+from weftwork.operators import graph, kernels, matching, pixels, tiles
+from weftwork.plans import registration
+from weftwork.sources import files
+from weftwork.sources.fixtures import SIDE, table
+from weftwork.sources.fixtures import pixels as pixel_rows
+from weftwork.sources.fixtures import tiles as tile_rows
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+TILES = "tiles AS (SELECT s_suppkey AS tile_id, (s_suppkey % 10) * 24.0::DOUBLE + s_acctbal / 10000.0::DOUBLE AS x, floor(s_suppkey / 10) * 24.0::DOUBLE AS y, s_nationkey::DOUBLE AS z, 25.6::DOUBLE AS s FROM supplier)"
+PIXELS = "pixels AS (SELECT vec_id AS tile_id, label AS z, ((p - 1) // 8)::INTEGER AS y, ((p - 1) % 8)::INTEGER AS x, embedding[p]::DOUBLE AS value FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS p))"
+NEXT = "edges AS (SELECT vec_id AS i, lead(vec_id) OVER (ORDER BY vec_id) AS j FROM embeddings QUALIFY j IS NOT NULL)"
+BOTH = f"{PIXELS}, {NEXT}, both_px AS (SELECT i, j, a.y, a.x, a.value AS a, b.value AS b FROM edges JOIN pixels a ON a.tile_id = i JOIN pixels b ON b.tile_id = j AND a.y = b.y AND a.x = b.x)"
+STATS = "stats AS (SELECT tile_id, avg(value) AS m, stddev_pop(value) AS s FROM pixels GROUP BY tile_id)"
+PAIR = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2{z})"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) + 0.0 for c in names})
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's tile with the next one's."""
+    ids = table(spark, sf_dir, "embeddings").select("vec_id")
+    return ids.withColumn("j", F.lead("vec_id").over(W.orderBy("vec_id"))).where("j IS NOT NULL").select(F.col("vec_id").alias("i"), "j")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return matching_tiles_fused(spark, sf_dir)
+
+
+@query(f"""WITH {TILES}, {PIXELS}, p AS (SELECT a.tile_id AS i, b.tile_id AS j FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id WHERE {PAIR.format(z=' + (a.z - b.z) ** 2')} < 25.6),
+n AS (SELECT i, j, corr(a.value, b.value) AS ncc FROM p JOIN pixels a ON a.tile_id = i JOIN pixels b ON b.tile_id = j AND a.y = b.y AND a.x = b.x GROUP BY i, j),
+k AS (SELECT DISTINCT unnest([i, j]) AS tile_id FROM n WHERE ncc >= 0.1)
+SELECT z, y, x, round(avg(value), 6) + 0.0::DOUBLE AS value FROM pixels SEMI JOIN k USING (tile_id) GROUP BY z, y, x""")
+def matching_tiles_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixel_rows(spark, sf_dir)
+    near = pixels.similarity(px, tiles.pairs(tile_rows(spark, sf_dir))).where("ncc >= 0.1")
+    kept = near.select(F.explode(F.array("i", "j")).alias("tile_id")).distinct()
+    return rounded(pixels.fused(px.join(kept, "tile_id", "left_semi")), "value")
+
+
+def _pairs_sql(z: str, limit: str, more: str = "TRUE", zrank: bool = False) -> str:
+    source = "(SELECT *, dense_rank() OVER (ORDER BY z) AS zr FROM tiles)" if zrank else "tiles"
+    d = PAIR.format(z=z)
+    return f"WITH {TILES}, t AS {source} SELECT a.tile_id AS i, b.tile_id AS j, round({d}, 6) AS distance FROM t a JOIN t b ON a.tile_id < b.tile_id WHERE {d} < {limit} AND {more}".replace("t AS tiles", "t AS (FROM tiles)")
+
+
+@query(_pairs_sql(" + (a.z - b.z) ** 2", "25.6"))
+def pairs_orthogonal(spark, sf_dir):
+    return rounded(tiles.pairs(tile_rows(spark, sf_dir)), "distance")
+
+
+@query(_pairs_sql(" + (a.z - b.z) ** 2", "12.8"))
+def pairs_overlap(spark, sf_dir):
+    return rounded(tiles.pairs(tile_rows(spark, sf_dir), overlap=True), "distance")
+
+
+@query(_pairs_sql("", "CASE WHEN a.z = b.z THEN 25.6 ELSE 25.6 * 0.8 END", "abs(a.zr - b.zr) <= 1", True))
+def pairs_mixed_z(spark, sf_dir):
+    return rounded(tiles.pairs(tile_rows(spark, sf_dir), mixed_z=True), "distance")
+
+
+@query(f"""WITH {TILES}, p AS (SELECT a.tile_id AS i, b.tile_id AS j, {PAIR.format(z='')} AS d, degrees(atan2(b.y - a.y, b.x - a.x)) AS g FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id),
+q AS (SELECT i, j, CASE WHEN d < 25.6 THEN g + 90 ELSE g END AS g FROM p WHERE d < 25.6)
+SELECT i, j, round(CASE WHEN g > 90 THEN g - 180 WHEN g < -90 THEN g + 180 ELSE g END, 6) + 0.0::DOUBLE AS angle FROM q""")
+def pair_angles(spark, sf_dir):
+    return rounded(tiles.pair_angles(tile_rows(spark, sf_dir)), "angle")
+
+
+@query(f"WITH {TILES}, g AS (SELECT tile_id, z, floor(x / 24.0) AS c, y FROM tiles) SELECT tile_id AS i, lead(tile_id) OVER (PARTITION BY c, y ORDER BY z, tile_id) AS j FROM g QUALIFY j IS NOT NULL")
+def pairs_stack(spark, sf_dir):
+    return tiles.consecutive(tile_rows(spark, sf_dir).withColumn("x", F.floor(F.col("x") / 24.0)))
+
+
+@query(f"""WITH {TILES}, p AS (SELECT a.tile_id AS i, b.tile_id AS j, {PAIR.format(z='')} / sqrt(2 * 25.6::DOUBLE ** 2) AS r FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id WHERE abs(floor(a.x / 51.2) - floor(b.x / 51.2)) <= 1 AND abs(floor(a.y / 51.2) - floor(b.y / 51.2)) <= 1),
+n AS (SELECT t, min(r) AS r FROM (SELECT unnest([i, j]) AS t, r FROM p) GROUP BY t)
+SELECT tile_id, round(r, 6) AS nearest, coalesce(r < 1, FALSE) AS has_overlap, coalesce(r <= 0.5, FALSE) AS large FROM tiles LEFT JOIN n ON t = tile_id""")
+def validate_overlap(spark, sf_dir):
+    return rounded(tiles.overlaps(tile_rows(spark, sf_dir)), "nearest")
+
+
+@query(f"""WITH {TILES}, o AS (SELECT a.tile_id AS i, b.tile_id AS j, greatest(a.x, b.x) AS x0, greatest(a.y, b.y) AS y0, least(a.x, b.x) + 25.6 AS x1, least(a.y, b.y) + 25.6 AS y1 FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id AND a.z = b.z)
+SELECT i, j, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round((x1 - x0) * (y1 - y0), 6) AS area FROM o WHERE x0 < x1 AND y0 < y1""")
+def overlap_boxes(spark, sf_dir):
+    return rounded(tiles.overlap_boxes(tile_rows(spark, sf_dir)), "x0", "y0", "x1", "y1", "area")
+
+
+@query(f"WITH {TILES} SELECT round(min(x), 6) AS x0, round(min(y), 6) AS y0, ceil((max(x + s) - min(x)) / 0.032)::BIGINT AS nx, ceil((max(y + s) - min(y)) / 0.032)::BIGINT AS ny, count(DISTINCT z) AS nz FROM tiles")
+def output_grid(spark, sf_dir):
+    return rounded(tiles.output_grid(tile_rows(spark, sf_dir), 0.032), "x0", "y0")
+
+
+@query(f"WITH {TILES}, d AS (SELECT DISTINCT z FROM tiles), s AS (SELECT z - lag(z) OVER (ORDER BY z) AS step FROM d) SELECT min(step) AS z_spacing FROM s")
+def z_spacing(spark, sf_dir):
+    return tiles.z_spacing(tile_rows(spark, sf_dir))
+
+
+@query(f"WITH {TILES} SELECT z, count(*) AS n, min(tile_id) AS first_tile FROM tiles GROUP BY z")
+def z_groups(spark, sf_dir):
+    return tiles.z_groups(tile_rows(spark, sf_dir))
+
+
+@query(f"""WITH {TILES}, g AS (SELECT z, count(*) AS n, avg(x + s / 2) AS cx, avg(y + s / 2) AS cy, min(x) AS x0, min(y) AS y0, max(x + s) AS x1, max(y + s) AS y1 FROM tiles GROUP BY z)
+SELECT z, n, round(cx, 6) AS cx, round(cy, 6) AS cy, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round((x1 - x0) * (y1 - y0), 4) AS area FROM g""")
+def fileset_summary(spark, sf_dir):
+    return rounded(tiles.summary(tile_rows(spark, sf_dir), "z"), "cx", "cy", "x0", "y0", "x1", "y1").withColumn("area", F.round("area", 4))
+
+
+@query("SELECT p_partkey AS tile_id, unnest([1, 2, 3]) AS level, greatest(round_even((p_size * 37)::DOUBLE / 2 ** level, 0), 1)::BIGINT AS nx, greatest(round_even((p_size * 21)::DOUBLE / 2 ** level, 0), 1)::BIGINT AS ny FROM part")
+def pyramid_levels(spark, sf_dir):
+    return tiles.pyramid(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tile_id"), (F.col("p_size") * 37).cast("double").alias("nx"), (F.col("p_size") * 21).cast("double").alias("ny")), 3)
+
+
+@query("""WITH l AS (SELECT p_partkey AS tile_id, unnest([0, 1, 2, 3]) AS level, 2.0::DOUBLE ** level AS factor, (p_size % 12 + 1) / 2.0::DOUBLE AS target FROM part),
+p AS (SELECT tile_id, coalesce(min(level) FILTER (WHERE abs(factor - target) <= 1e-4 * abs(target)), max(level) FILTER (WHERE factor <= target), 0) AS level FROM l GROUP BY tile_id)
+SELECT l.tile_id, l.level, round(CASE WHEN l.level = 0 AND target / factor < 1 THEN 1.0::DOUBLE ELSE target / factor END, 6) AS residual FROM l JOIN p USING (tile_id, level)""")
+def level_select(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tile_id"), ((F.col("p_size") % 12 + 1) / 2.0).alias("want"), F.explode(F.array(*map(F.lit, range(4)))).alias("level"))
+    return rounded(tiles.level_for(part.withColumn("factor", F.pow(F.lit(2.0), "level")), F.col("want")), "residual")
+
+
+@query(f"WITH {PIXELS} SELECT z, y, x, round(quantile_cont(value, 0.05), 6) + 0.0::DOUBLE AS q0, round(quantile_cont(value, 0.5), 6) + 0.0::DOUBLE AS q1, round(quantile_cont(value, 0.95), 6) + 0.0::DOUBLE AS q2 FROM pixels GROUP BY z, y, x")
+def pixel_quantiles(spark, sf_dir):
+    return rounded(pixels.quantiles(pixel_rows(spark, sf_dir), ["z", "y", "x"], [0.05, 0.5, 0.95]), "q0", "q1", "q2")
+
+
+@query(f"""WITH {PIXELS}, m AS (SELECT y, x, median(value) AS m FROM pixels GROUP BY y, x), d AS (SELECT tile_id, avg(abs(value - m)) AS difference FROM pixels JOIN m USING (y, x) GROUP BY tile_id)
+SELECT tile_id, round(difference, 6) AS difference, difference > (SELECT avg(difference) FROM d) AS is_foreground FROM d""")
+def foreground_map(spark, sf_dir):
+    return rounded(pixels.foreground(pixel_rows(spark, sf_dir)), "difference")
+
+
+@query(f"""WITH {PIXELS}, q AS (SELECT y, x, quantile_cont(value, 0.05) AS d, quantile_cont(value, 0.95) - quantile_cont(value, 0.05) AS r FROM pixels GROUP BY y, x),
+f AS (SELECT tile_id, z, y, x, (value - d) * (SELECT avg(r) FROM q) / r AS value FROM pixels JOIN q USING (y, x))
+SELECT tile_id, z, y, x, round(value - min(value) OVER (PARTITION BY tile_id), 6) + 0.0::DOUBLE AS value FROM f""")
+def flatfield_apply(spark, sf_dir):
+    return rounded(pixels.flatfield(pixel_rows(spark, sf_dir)), "value")
+
+
+@query(f"WITH {PIXELS}, {STATS} SELECT tile_id, z, y, x, round(least(greatest(((value - (SELECT avg(m) FROM stats)) / (SELECT avg(s) FROM stats) + 1) / 2, 0), 1), 6) + 0.0::DOUBLE AS value FROM pixels")
+def normalise_global(spark, sf_dir):
+    return rounded(pixels.normalised(pixel_rows(spark, sf_dir)), "value")
+
+
+@query(f"WITH {PIXELS}, {STATS} SELECT tile_id, z, y, x, round(least(greatest(((value - m) / s + 1) / 2, 0), 1), 6) + 0.0::DOUBLE AS value FROM pixels JOIN stats USING (tile_id)")
+def normalise_individual(spark, sf_dir):
+    return rounded(pixels.normalised(pixel_rows(spark, sf_dir), False), "value")
+
+
+@query(f"WITH {PIXELS}, q AS (SELECT tile_id, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM pixels GROUP BY tile_id) SELECT tile_id, z, y, x, round(least(greatest((value - a) / (b - a), 0), 1), 6) + 0.0::DOUBLE AS value FROM pixels JOIN q USING (tile_id)")
+def normalise_values(spark, sf_dir):
+    return rounded(pixels.stretched(pixel_rows(spark, sf_dir)), "value")
+
+
+@query(f"WITH {PIXELS}, {STATS} SELECT tile_id, z, y, x, round(least(greatest((value - m) / s, 0), 1), 6) + 0.0::DOUBLE AS value FROM pixels JOIN stats USING (tile_id)")
+def norm_variance(spark, sf_dir):
+    return rounded(pixels.standardised(pixel_rows(spark, sf_dir)), "value")
+
+
+@query(ORACLE_SQL["normalise_individual"])
+def norm_variance2(spark, sf_dir):
+    return rounded(pixels.standardised(pixel_rows(spark, sf_dir), True), "value")
+
+
+@query(f"WITH {PIXELS}, q AS (SELECT tile_id, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b, avg(value) AS m FROM pixels GROUP BY tile_id) SELECT tile_id, z, y, x, round(least(greatest((value - m) / (b - a), 0), 1), 6) + 0.0::DOUBLE AS value FROM pixels JOIN q USING (tile_id)")
+def norm_quantiles(spark, sf_dir):
+    return rounded(pixels.quantile_scaled(pixel_rows(spark, sf_dir)), "value")
+
+
+@query(f"WITH {PIXELS} SELECT z, round(quantile_cont(value, 0.001), 6) + 0.0::DOUBLE AS q0, round(quantile_cont(value, 0.999), 6) + 0.0::DOUBLE AS q1 FROM pixels GROUP BY z")
+def channel_window(spark, sf_dir):
+    return rounded(pixels.quantiles(pixel_rows(spark, sf_dir), ["z"], [0.001, 0.999]), "q0", "q1")
+
+
+@query(f"WITH {PIXELS} SELECT tile_id, round(quantile_cont(value, 0.01), 6) + 0.0::DOUBLE AS q0, round(quantile_cont(value, 0.99), 6) + 0.0::DOUBLE AS q1 FROM pixels GROUP BY tile_id")
+def image_window(spark, sf_dir):
+    return rounded(pixels.quantiles(pixel_rows(spark, sf_dir), ["tile_id"], [0.01, 0.99]), "q0", "q1")
+
+
+@query(f"WITH {BOTH} SELECT i, j, round(corr(a, b), 6) + 0.0::DOUBLE AS ncc, round(1 / avg((a - b) ** 2), 6) AS mse FROM both_px GROUP BY i, j")
+def metric_ncc_mse(spark, sf_dir):
+    return rounded(pixels.similarity(pixel_rows(spark, sf_dir), neighbours(spark, sf_dir)), "ncc", "mse")
+
+
+@query(f"WITH {BOTH} SELECT i, j, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) + 0.0::DOUBLE AS ncc FROM both_px GROUP BY i, j")
+def metric_ncc2(spark, sf_dir):
+    return rounded(pixels.ncc2(pixel_rows(spark, sf_dir), neighbours(spark, sf_dir)), "ncc")
+
+
+@query(f"""WITH {BOTH}, o AS (SELECT unnest([-3, -2, -1, 0, 1, 2, 3]) AS d), c AS (SELECT i, j, y AS cy, x AS cx FROM both_px WHERE y BETWEEN 3 AND 4 AND x BETWEEN 3 AND 4),
+w AS (SELECT c.i, c.j, cy, cx, avg(a) AS ua, avg(b) AS ub, avg(a * a) AS aa, avg(b * b) AS bb, avg(a * b) AS ab FROM c, o p, o q JOIN both_px v ON v.i = c.i AND v.j = c.j AND v.y = cy + p.d AND v.x = cx + q.d GROUP BY c.i, c.j, cy, cx),
+s AS (SELECT i, j, (2 * ua * ub + 0.0001) * (2 * (49.0::DOUBLE / 48) * (ab - ua * ub) + 0.0009) / ((ua * ua + ub * ub + 0.0001) * ((49.0::DOUBLE / 48) * (aa - ua * ua + bb - ub * ub) + 0.0009)) AS v FROM w)
+SELECT i, j, round(avg(v), 6) + 0.0::DOUBLE AS ssim FROM s GROUP BY i, j""")
+def metric_ssim(spark, sf_dir):
+    return rounded(pixels.ssim(pixel_rows(spark, sf_dir), neighbours(spark, sf_dir)), "ssim")
+
+
+@query(f"""WITH {BOTH}, c AS (SELECT i, j, least(greatest(floor((a + 0.6) / 1.2 * 8), 0), 7)::INTEGER AS a, least(greatest(floor((b + 0.6) / 1.2 * 8), 0), 7)::INTEGER AS b FROM both_px),
+ha AS (SELECT i, j, -sum(n / 64.0::DOUBLE * ln(n / 64.0::DOUBLE)) AS h FROM (SELECT i, j, a, count(*) AS n FROM c GROUP BY ALL) GROUP BY i, j), hb AS (SELECT i, j, -sum(n / 64.0::DOUBLE * ln(n / 64.0::DOUBLE)) AS h FROM (SELECT i, j, b, count(*) AS n FROM c GROUP BY ALL) GROUP BY i, j),
+hh AS (SELECT i, j, -sum(n / 64.0::DOUBLE * ln(n / 64.0::DOUBLE)) AS h FROM (SELECT i, j, a, b, count(*) AS n FROM c GROUP BY ALL) GROUP BY i, j)
+SELECT i, j, round((ha.h + hb.h) / nullif(hh.h, 0) - 1, 6) + 0.0::DOUBLE AS nmi FROM ha JOIN hb USING (i, j) JOIN hh USING (i, j)""")
+def metric_nmi(spark, sf_dir):
+    return rounded(pixels.mutual_information(pixel_rows(spark, sf_dir), neighbours(spark, sf_dir)), "nmi")
+
+
+def _metrics(spark, sf_dir):
+    near = pixels.similarity(pixel_rows(spark, sf_dir), neighbours(spark, sf_dir))
+    return near.select("i", "j", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("ncc", "mse")))).alias("m")).select("i", "j", "m.*")
+
+
+@query(f"""WITH {BOTH}, s AS (SELECT i, j, corr(a, b) AS ncc, 1 / avg((a - b) ** 2) AS mse FROM both_px GROUP BY i, j), m AS (SELECT i, j, 'ncc' AS metric, ncc AS value FROM s UNION ALL SELECT i, j, 'mse', mse FROM s)
+SELECT i, j, metric, round(value, 6) + 0.0::DOUBLE AS value FROM m UNION ALL SELECT NULL, NULL, metric, round(avg(value), 6) + 0.0::DOUBLE FROM m GROUP BY metric""")
+def metrics_summary(spark, sf_dir):
+    return rounded(graph.metric_summary(_metrics(spark, sf_dir)), "value")
+
+
+@query(ORACLE_SQL["metric_ncc_mse"])
+def metrics_pivot(spark, sf_dir):
+    return rounded(graph.metric_table(_metrics(spark, sf_dir), ["ncc", "mse"]), "ncc", "mse")
+
+
+for _how, _sql in {"mean": "avg(value)", "sum": "sum(value)", "max": "max(value)"}.items():
+    def _fuse(spark, sf_dir, how=_how):
+        return rounded(pixels.fused(pixel_rows(spark, sf_dir), how), "value")
+
+    QUERIES[f"fuse_{_how}"] = _fuse
+    ORACLE_SQL[f"fuse_{_how}"] = f"WITH {PIXELS} SELECT z, y, x, round({_sql}, 6) + 0.0::DOUBLE AS value FROM pixels GROUP BY z, y, x"
+
+
+@query(f"WITH {PIXELS}, v AS (SELECT *, (tile_id + y) % 3 = 0 AS gone FROM pixels), n AS (SELECT tile_id, count(*) AS n FROM v WHERE NOT gone GROUP BY tile_id), r AS (SELECT z, y, x, value, row_number() OVER (PARTITION BY z, y, x ORDER BY n, tile_id) AS k FROM v JOIN n USING (tile_id) WHERE NOT gone) SELECT z, y, x, round(value, 6) + 0.0::DOUBLE AS value FROM r WHERE k = 1")
+def fuse_exclusive(spark, sf_dir):
+    px = pixel_rows(spark, sf_dir).withColumn("value", F.when((F.col("tile_id") + F.col("y")) % 3 != 0, F.col("value")))
+    return rounded(pixels.fused(px, "exclusive"), "value")
+
+
+@query(f"WITH {PIXELS} SELECT z, y, x, round(avg(value), 6) + 0.0::DOUBLE AS value, 'even' AS channel FROM pixels WHERE tile_id % 2 = 0 GROUP BY z, y, x UNION ALL SELECT z, y, x, round(avg(value), 6) + 0.0::DOUBLE, 'odd' FROM pixels WHERE tile_id % 2 = 1 GROUP BY z, y, x")
+def fuse_channels(spark, sf_dir):
+    px = pixel_rows(spark, sf_dir)
+    return rounded(pixels.channels(*((n, pixels.fused(px.where(F.col("tile_id") % 2 == k))) for k, n in enumerate(("even", "odd")))), "value")
+
+
+@query(f"WITH {PIXELS} SELECT tile_id, z, (y // 2)::BIGINT AS y, (x // 2)::BIGINT AS x, round(avg(value), 6) + 0.0::DOUBLE AS value FROM pixels GROUP BY tile_id, z, y // 2, x // 2")
+def downsample_mean(spark, sf_dir):
+    return rounded(pixels.downsampled(pixel_rows(spark, sf_dir)), "value")
+
+
+def _points(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def _halves(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return p.where("idx % 2 = 0"), p.where("idx % 2 = 1")
+
+
+VEC = "e AS (SELECT label, vec_id AS idx, embedding::DOUBLE[] AS v FROM embeddings)"
+KNN = f"{VEC}, d AS (SELECT a.label, a.idx AS a, b.idx AS b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))) AS distance FROM e a JOIN e b ON a.label = b.label AND a.idx % 2 = 0 AND b.idx % 2 = 1), k AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY distance, b)::INTEGER AS rank FROM d)"
+
+
+@query(f"WITH {KNN} SELECT label, a, b, round(distance, 6) AS distance, rank FROM k WHERE rank <= 2")
+def knn_match(spark, sf_dir):
+    return rounded(matching.nearest(*_halves(spark, sf_dir), "label"), "distance")
+
+
+@query(f"WITH {KNN}, g AS (SELECT label, a, min(b) FILTER (WHERE rank = 1) AS b, min(distance) AS distance, max(distance) FILTER (WHERE rank = 2) AS second FROM k WHERE rank <= 2 GROUP BY label, a) SELECT label, a, b, round(distance, 6) AS distance FROM g WHERE second IS NULL OR distance < 0.92 * second")
+def ratio_test(spark, sf_dir):
+    return rounded(matching.ratio_test(matching.nearest(*_halves(spark, sf_dir), "label"), "label"), "distance")
+
+
+@query(f"WITH {KNN}, r AS (SELECT *, row_number() OVER (PARTITION BY label, b ORDER BY distance, a) AS back FROM k) SELECT label, a, b, round(distance, 6) AS distance FROM r WHERE rank = 1 AND back = 1")
+def cross_check(spark, sf_dir):
+    return rounded(matching.cross_checked(*_halves(spark, sf_dir), "label"), "distance")
+
+
+@query(f"WITH {VEC}, u AS (SELECT label, v, min(idx) AS idx FROM e GROUP BY label, v), d AS (SELECT a.label, a.idx, min(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2)))) AS d FROM u a JOIN u b ON a.label = b.label AND a.idx <> b.idx GROUP BY a.label, a.idx) SELECT label, round(median(d), 6) AS nn FROM d GROUP BY label")
+def nn_distance(spark, sf_dir):
+    return rounded(matching.nn_distance(_points(spark, sf_dir), "label"), "nn")
+
+
+@query()
+def match_assign(spark, sf_dir):
+    return rounded(matching.match_assign(*_halves(spark, sf_dir), "label", 1.4, 0.98), "distance")
+
+
+MOVES = "m AS (SELECT l_suppkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber)::INTEGER AS m, (l_quantity % 5)::DOUBLE AS dx, (l_linenumber % 3)::DOUBLE AS dy FROM lineitem)"
+
+
+@query(f"""WITH {MOVES}, t AS (SELECT k, m AS trial, dx AS tx, dy AS ty FROM m QUALIFY row_number() OVER (PARTITION BY k ORDER BY (m * 7919 + 17) % 104729, m) <= 5),
+v AS (SELECT t.k, trial, tx, ty, sum((sqrt((dx - tx) ** 2 + (dy - ty) ** 2) <= 1.0)::BIGINT) AS inliers FROM t JOIN m ON t.k = m.k GROUP BY ALL)
+SELECT k, tx AS dx, ty AS dy, inliers::BIGINT AS inliers FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY inliers DESC, trial) = 1""")
+def ransac_translation(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    m = l.select(F.col("l_suppkey").alias("k"), F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")).alias("m"), (F.col("l_quantity") % 5).cast("double").alias("dx"), (F.col("l_linenumber") % 3).cast("double").alias("dy"))
+    return matching.translation_ransac(m, "k", 5, 1.0)
+
+
+def _edges(spark, sf_dir):
+    """Neighbours on the stage grid with a transform and a quality that follow from their ids."""
+    p = tiles.pairs(tile_rows(spark, sf_dir), mixed_z=False).select("i", "j")
+    return p.select("i", "j", affine.rotation(F.lit(0.0), ((F.col("j") - F.col("i")) % 7).cast("double"), ((F.col("i") + F.col("j")) % 5).cast("double")).alias("matrix"), ((F.col("i") * 31 + F.col("j") * 17) % 100 / 100.0).alias("quality"))
+
+
+EDGES = f"{TILES}, edges AS (SELECT a.tile_id AS i, b.tile_id AS j, ((b.tile_id - a.tile_id) % 7)::DOUBLE AS tx, ((a.tile_id + b.tile_id) % 5)::DOUBLE AS ty, (a.tile_id * 31 + b.tile_id * 17) % 100 / 100.0::DOUBLE AS quality FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id WHERE {PAIR.format(z=' + (a.z - b.z) ** 2')} < 25.6)"
+
+
+def _shift(df: DataFrame) -> DataFrame:
+    return df.withColumn("tx", F.col("matrix")[2]).withColumn("ty", F.col("matrix")[5]).drop("matrix")
+
+
+@query(f"WITH {EDGES} SELECT i, j, tx, ty, quality FROM edges WHERE quality >= 0.5")
+def edge_filter(spark, sf_dir):
+    return _shift(graph.filtered(_edges(spark, sf_dir), 0.5)).select("i", "j", "tx", "ty", "quality")
+
+
+@query(f"WITH {EDGES} SELECT i, j, CASE WHEN i % 4 = 0 THEN 9.0::DOUBLE ELSE tx END AS tx, CASE WHEN i % 4 = 0 THEN 8.0::DOUBLE ELSE ty END AS ty, CASE WHEN i % 4 = 0 THEN 1.0::DOUBLE ELSE quality END AS quality FROM edges")
+def edge_override(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    new = e.where("i % 4 = 0").select("i", "j", affine.rotation(F.lit(0.0), F.lit(9.0), F.lit(8.0)).alias("matrix"))
+    return _shift(graph.overridden(e, new)).select("i", "j", "tx", "ty", "quality")
+
+
+@query(f"WITH {EDGES}, f AS (SELECT i, max(tx) AS tx FROM edges GROUP BY i) SELECT tile_id, coalesce(tx, 0) AS tx FROM tiles LEFT JOIN f ON i = tile_id")
+def missing_identity(spark, sf_dir):
+    e = _edges(spark, sf_dir).groupBy(F.col("i").alias("tile_id")).agg(F.max(F.col("matrix")[2]).alias("tx"))
+    e = e.select("tile_id", affine.rotation(F.lit(0.0), F.col("tx"), F.lit(0.0)).alias("matrix"))
+    return _shift(graph.with_identity(tile_rows(spark, sf_dir), e)).select("tile_id", "tx")
+
+
+def _checkpointed(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftwork-"))
+
+
+@query(f"WITH RECURSIVE {EDGES}, u AS (SELECT i AS a, j AS b FROM edges UNION SELECT j, i FROM edges), r AS (SELECT tile_id AS t, tile_id AS c FROM tiles UNION SELECT r.t, u.b FROM r JOIN u ON r.c = u.a) SELECT t AS tile_id, min(c) AS component FROM r GROUP BY t")
+def tile_components(spark, sf_dir):
+    _checkpointed(spark)
+    return graph.components(_edges(spark, sf_dir), tile_rows(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {EDGES}, u AS (SELECT i AS a, j AS b FROM edges UNION SELECT j, i FROM edges), r AS (SELECT tile_id AS t, tile_id AS c FROM tiles UNION SELECT r.t, u.b FROM r JOIN u ON r.c = u.a), g AS (SELECT t, min(c) AS c FROM r GROUP BY t), h AS (SELECT t, 0 AS hops FROM g WHERE t = c UNION SELECT u.b, h.hops + 1 FROM h JOIN u ON h.t = u.a WHERE h.hops < 40) SELECT t AS tile_id, min(hops)::INTEGER AS hops FROM h GROUP BY t")
+def shortest_path_hops(spark, sf_dir):
+    _checkpointed(spark)
+    return graph.shortest_paths(_edges(spark, sf_dir), tile_rows(spark, sf_dir)).select("tile_id", "hops")
+
+
+@query()
+def global_translation(spark, sf_dir):
+    _checkpointed(spark)
+    return rounded(graph.translations(_edges(spark, sf_dir), tile_rows(spark, sf_dir)), "dx", "dy")
+
+
+@query()
+def phase_correlation(spark, sf_dir):
+    return kernels.register_pairs(pixel_rows(spark, sf_dir), neighbours(spark, sf_dir), "phase").select("i", "j", F.round(F.col("matrix")[2], 4).alias("dx"), F.round(F.col("matrix")[5], 4).alias("dy"), F.round("quality", 6).alias("quality"))
+
+
+@query()
+def coherent_point_drift(spark, sf_dir):
+    return kernels.register_pairs(pixel_rows(spark, sf_dir), neighbours(spark, sf_dir), "cpd").select("i", "j", F.round("quality", 6).alias("quality"))
+
+
+@query()
+def feature_registration(spark, sf_dir):
+    return kernels.register_pairs(pixel_rows(spark, sf_dir), neighbours(spark, sf_dir), "features").select("i", "j", F.round("quality", 6).alias("quality"))
+
+
+@query()
+def gaussian_blur(spark, sf_dir):
+    return rounded(kernels.blurred(pixel_rows(spark, sf_dir), 1.0), "value")
+
+
+@query()
+def oriented_boxes(spark, sf_dir):
+    return rounded(kernels.boxes(tile_rows(spark, sf_dir), "z"), "x", "y")
+
+
+AFF = "a AS (SELECT p_partkey AS k, radians(p_size::DOUBLE) AS g, (p_partkey % 13)::DOUBLE AS tx, (p_partkey % 7)::DOUBLE AS ty FROM part)"
+
+
+def _affine(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("k"), affine.rotation(F.col("p_size").cast("double"), (F.col("p_partkey") % 13).cast("double"), (F.col("p_partkey") % 7).cast("double")).alias("m"))
+
+
+@query(f"WITH {AFF} SELECT k, round(degrees(atan2(sin(g), cos(g))), 6) AS angle, 1.0::DOUBLE AS scale, round(cos(g) * 3 - sin(g) * 4 + tx, 6) + 0.0::DOUBLE AS x, round(sin(g) * 3 + cos(g) * 4 + ty, 6) + 0.0::DOUBLE AS y, TRUE AS valid, abs(degrees(atan2(sin(g), cos(g)))) <= 10 AS valid10 FROM a")
+def affine_properties(spark, sf_dir):
+    m = F.col("m")
+    p = affine.applied(m, F.lit(3.0), F.lit(4.0))
+    out = _affine(spark, sf_dir).select("k", affine.angle(m).alias("angle"), affine.scale(m).alias("scale"), p[0].alias("x"), p[1].alias("y"), affine.valid(m).alias("valid"), affine.valid(m, max_rotation=10.0).alias("valid10"))
+    return rounded(out, "angle", "scale", "x", "y")
+
+
+@query(f"WITH {AFF} SELECT k, round(-(cos(g) * tx + sin(g) * ty), 6) + 0.0::DOUBLE AS ix, round(sin(g) * tx - cos(g) * ty, 6) + 0.0::DOUBLE AS iy, round(cos(g) * tx - sin(g) * ty + tx, 6) + 0.0::DOUBLE AS px, round(sin(g) * tx + cos(g) * ty + ty, 6) + 0.0::DOUBLE AS py, round(degrees(g), 6) AS d FROM a")
+def affine_inverse_compose(spark, sf_dir):
+    m = F.col("m")
+    i, p = affine.inverse(m), affine.folded(F.array(m, m))
+    out = _affine(spark, sf_dir).select("k", i[2].alias("ix"), i[5].alias("iy"), p[2].alias("px"), p[5].alias("py"), affine.angle(affine.difference(m, p)).alias("d"))
+    return rounded(out, "ix", "iy", "px", "py", "d")
+
+
+@query(r"SELECT page_id, array_to_string(list_transform(regexp_extract_all(url, '(\d+)', 1), lambda x: x::BIGINT), ',') AS numbers, array_to_string(list_filter(regexp_split_to_array(url, '[/\\._-]'), lambda x: x <> ''), '|') AS parts, regexp_replace(regexp_replace(list_last(string_split(url, '/')), '\.[^.]*$', ''), '\.ome$', '') AS title, nullif(regexp_extract(url, '(?:^|[/\\._-])p(\d+)(?:$|[/\\._-])', 1), '')::BIGINT AS p FROM pages")
+def name_fields(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(text.numbers(url), ",").alias("numbers"), F.array_join(text.name_parts(url), "|").alias("parts"), text.file_title(url).alias("title"), text.target_number(url, "p").alias("p"))
+
+
+@query(r"SELECT coalesce(nullif(regexp_extract(url, '(\d+)', 1), '')::BIGINT % 5, -1) AS fileset, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1")
+def match_fileset(spark, sf_dir):
+    found = F.coalesce(text.target_number(F.col("url"), None) % 5, F.lit(-1).cast("long"))
+    return table(spark, sf_dir, "pages").groupBy(found.alias("fileset")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+
+
+@query("""SELECT p_partkey AS k, CASE WHEN p_partkey * 4099 > 1048576 THEN printf('%.1fMB', p_partkey * 4099 / 1048576.0::DOUBLE) WHEN p_partkey * 4099 > 1024 THEN printf('%.1fKB', p_partkey * 4099 / 1024.0::DOUBLE) ELSE printf('%.1fB', (p_partkey * 4099)::DOUBLE) END AS size,
+CASE p_size % 4 WHEN 0 THEN p_size * 0.001::DOUBLE WHEN 1 THEN p_size::DOUBLE WHEN 2 THEN p_size * 1000.0::DOUBLE ELSE p_size::DOUBLE END AS um, CASE WHEN p_size > 25 THEN 'green' WHEN p_size > 12.5 THEN 'gold' WHEN p_size > 5 THEN 'orange' ELSE 'red' END AS grade FROM part""")
+def unit_fields(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("double")
+    unit = F.element_at(F.array(F.lit("nm"), F.lit("µm"), F.lit("mm"), F.lit("other")), (F.col("p_size") % 4 + 1).cast("int"))
+    return p.select(F.col("p_partkey").alias("k"), text.human_bytes(F.col("p_partkey") * 4099).alias("size"), units.micrometers(size, unit).alias("um"), units.grade(size / 50).alias("grade"))
+
+
+@query("SELECT p_partkey AS k, printf('%02X%02X%02X', p_partkey * 77 % 256, p_partkey * 13 % 256, p_partkey * 5 % 256) AS hex FROM part")
+def color_fields(spark, sf_dir):
+    k = F.col("p_partkey")
+    value = F.shiftleft(k * 77 % 256, 24) + F.shiftleft(k * 13 % 256, 16) + F.shiftleft(k * 5 % 256, 8) + 255
+    signed = F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value).cast("int")
+    return table(spark, sf_dir, "part").select(k.alias("k"), units.hex_rgb(units.rgba(units.rgba_int(units.rgba(signed)))).alias("hex"))
+
+
+@query(r"SELECT page_id, CASE WHEN len(regexp_extract_all(url, '\d+')) >= 1 THEN list_last(list_transform(regexp_extract_all(url, '\d+'), lambda v: v::DOUBLE)) * 24.0 + page_id / 2.0::DOUBLE END AS position FROM pages")
+def metadata_expression(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", text.numbers(F.col("url")).alias("fn"))
+    return rows.select("page_id", text.arithmetic("fn[-1] * 24.0 + page_id / 2", {"page_id"}).alias("position"))
+
+
+@query("""WITH v AS (SELECT user_id, ts AS since, min(event_id) AS content FROM events WHERE event_type = 'view' GROUP BY user_id, ts), r AS (SELECT user_id, event_id, ts FROM events WHERE event_type <> 'view')
+SELECT r.event_id, v.content FROM r ASOF LEFT JOIN v ON r.user_id = v.user_id AND r.ts >= v.since""")
+def config_asof(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    v = e.where("event_type = 'view'").groupBy("user_id", F.col("ts").alias("since")).agg(F.min("event_id").alias("content"))
+    return tiles.as_of(e.where("event_type <> 'view'").select("user_id", "event_id", "ts"), v, "user_id", "ts", "since", "content").select("event_id", "content")
+
+
+@query("""WITH g AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN value END AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+h AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER p AS pn, last_value(v IGNORE NULLS) OVER p AS pv, first_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER q AS qn, first_value(v IGNORE NULLS) OVER q AS qv FROM g
+WINDOW p AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN pn IS NULL THEN qv WHEN qn IS NULL THEN pv ELSE pv + (qv - pv) * (n - pn) / (qn - pn) END, 6) + 0.0::DOUBLE AS filled FROM h""")
+def rotation_interpolate(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"))
+    return rounded(tiles.interpolated(e, "user_id", "event_id", "v").select("event_id", "filled"), "filled")
+
+
+@query("WITH l AS (SELECT event_type AS keyword, abs(value) AS s FROM events) SELECT keyword, count(*) AS n, round(avg(round(s, 3)), 6) AS mean, round(sum(round(s, 3)), 4) AS total FROM l GROUP BY keyword")
+def log_stats(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select(F.format_string("INFO Time %s: %.3f (0.1) seconds", "event_type", F.round(F.abs("value"), 3)).alias("value"))
+    return files.log_statistics(lines).select("keyword", "n", F.round("mean", 6).alias("mean"), F.round("total", 4).alias("total"))
+
+
+@query(f"WITH {TILES}, d AS (SELECT x - lag(x) OVER (PARTITION BY y ORDER BY tile_id) AS dx, y FROM tiles) SELECT y, round(avg(dx), 6) + 0.0::DOUBLE AS dx FROM d GROUP BY y")
+def grid_offsets(spark, sf_dir):
+    t = tile_rows(spark, sf_dir).withColumn("dx", F.col("x") - F.lag("x").over(W.partitionBy("y").orderBy("tile_id")))
+    return rounded(t.groupBy("y").agg(F.avg("dx").alias("dx")), "dx")
+
+
+@query(f"""WITH {TILES}, c AS (SELECT unnest(generate_series(0, 4)) AS frame), e AS (SELECT frame::INTEGER AS frame, sum((1 - cos(2 * pi() * frame / 4)) / 2 / 2.5::DOUBLE) OVER (ORDER BY frame) AS a FROM c), m AS (SELECT avg(x) AS cx, avg(y) AS cy FROM tiles)
+SELECT frame, tile_id, round(cx + (x - cx) * (1.1 - 0.1 * a), 6) AS x, round(cy + (y - cy) * (1.1 - 0.1 * a), 6) AS y FROM tiles, e, m""")
+def transition_frames(spark, sf_dir):
+    return rounded(registration.transition(tile_rows(spark, sf_dir), 5, 1.1, 1.0), "x", "y")
