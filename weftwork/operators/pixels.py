@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-TILE = W.partitionBy("tile_id")
+
+def _tile() -> WindowSpec:
+    return W.partitionBy("tile_id")
 
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -34,7 +36,7 @@ def flatfield(pixels: DataFrame, dark_at: float = 0.05, bright_at: float = 0.95)
     mean = images.agg(F.avg("range").alias("mean_range"))
     out = pixels.join(images, ["y", "x"]).crossJoin(F.broadcast(mean))  # one row
     out = out.withColumn("value", (F.col("value") - F.col("dark")) * F.col("mean_range") / F.nullif("range", F.lit(0.0)))
-    return out.withColumn("value", F.col("value") - F.min("value").over(TILE)).select(*pixels.columns)
+    return out.withColumn("value", F.col("value") - F.min("value").over(_tile())).select(*pixels.columns)
 
 
 def normalised(pixels: DataFrame, over_all: bool = True) -> DataFrame:
@@ -54,7 +56,7 @@ def stretched(pixels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataF
 
 
 def standardised(pixels: DataFrame, halved: bool = False) -> DataFrame:
-    z = (F.col("value") - F.avg("value").over(TILE)) / F.nullif(F.stddev_pop("value").over(TILE), F.lit(0.0))
+    z = (F.col("value") - F.avg("value").over(_tile())) / F.nullif(F.stddev_pop("value").over(_tile()), F.lit(0.0))
     return pixels.withColumn("value", clip((z + 1) / 2 if halved else z))
 
 
