@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftwork.llm.common import batch_of
+from weftwork.llm.common import Scratch, batch_of
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern that this byte-level vocabulary was made with.
@@ -54,7 +54,8 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     length); truncated_total (tokens left when every document is cut at this length); docs_total;
     tokens_total. An empty table gives no rows. See :func:`at_limits` and :func:`quantiles`.
     """
-    return suffix_sums(length_histogram(docs, tokenizer))
+    scratch = Scratch(docs.sparkSession, "token-counts")  # written, so that texts are encoded once
+    return suffix_sums(scratch.write(length_histogram(docs, tokenizer), "histogram"))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
