@@ -122,12 +122,13 @@ class Lattices:
                 at += len(own) * size
                 parts.append(self._sums(vocabulary, [words[i] for i in own], lengths[own], size, wide))
         self.reach, self.log_p, self.piece = (np.concatenate(x) if x else np.zeros((0, wide)) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, wide)),) * 3
+        self.last = (self.reach < self.reach[:, -1:]).sum(axis=1, dtype=np.int8)  # the last column of any weight
         self.options = (self.piece != -1).sum(axis=1, dtype=np.int8)  # at most: some may lead nowhere
 
     @staticmethod
     def _sums(vocabulary: Pieces, words: list[str], lengths: np.ndarray, size: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(words)
-        text = np.frombuffer("".join(w.ljust(size, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64)
+        text = np.array(words, f"U{size}").view(np.uint32).reshape(n, size).astype(np.uint64)
         powers = np.full(size, _BASE, np.uint64)
         powers[:1] = 1
         np.cumprod(powers, out=powers)
@@ -170,10 +171,9 @@ def _uniform(seed: np.ndarray, sample: int, place: np.ndarray, use: int) -> np.n
     return ((word >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def _choose(reach: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The column of each row at which its cumulative probability passes u."""
-    last = reach[:, -1:]
-    return np.minimum((reach <= (u[:, None] * last).astype(np.float32)).sum(axis=1), (reach < last).sum(axis=1))
+def _choose(reach: np.ndarray, last: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The column of each row at which its cumulative probability passes u, the last one of any weight at most."""
+    return np.minimum((reach <= u.astype(np.float32)[:, None]).sum(axis=1, dtype=np.int8), last).astype(np.int64)
 
 
 class Path:
@@ -211,7 +211,7 @@ def _drawn(lattice: Lattices, kinds: np.ndarray, start: np.ndarray, begin: np.nd
     while len(active):
         rows = lattice.first[kinds[active]] + at[active]
         place = start[active] + at[active]
-        columns = _choose(lattice.reach[rows], _uniform(seed[active], sample, place, 0))
+        columns = _choose(lattice.reach[rows], lattice.last[rows], _uniform(seed[active], sample, place, 0))
         steps.append((active, rows, columns, place))
         counts[active] += 1
         at[active] += columns + 1
@@ -260,7 +260,8 @@ def _run(vocabulary: Pieces, texts: list[str | None], seeds: np.ndarray, k: int)
             barred = [int(p.columns[at]), *(p.barred if at == p.first else [])]
             weights = np.exp(lattice.log_p[p.rows[at]].astype(np.float64))
             weights[barred] = 0
-            new = int(_choose(np.cumsum(weights).astype(np.float32)[None], _uniform(seeds[d : d + 1], sample, p.place[at : at + 1], 3))[0])
+            below = np.cumsum(weights / weights.sum())
+            new = min(int(np.searchsorted(below, _uniform(seeds[d : d + 1], sample, p.place[at : at + 1], 3)[0], side="right")), int(np.flatnonzero(weights)[-1]))
             p.branch[at - p.first] = -np.inf
             words = slice(cuts[d], cuts[d + 1])
             word = int(np.searchsorted(start[words], p.place[at], side="right")) - 1 + cuts[d]
