@@ -121,7 +121,7 @@ def z_spacing(spark, sf_dir):
     return tiles.z_spacing(tile_rows(spark, sf_dir))
 
 
-@query(f"WITH {TILES} SELECT z, count(*) AS n, min(tile_id) AS first_tile FROM tiles GROUP BY z")
+@query(f"WITH {TILES}, k AS (SELECT count(*) > count(DISTINCT z) AS repeats FROM tiles) SELECT CASE WHEN repeats THEN z END AS z, count(*) AS n, min(tile_id) AS first_tile FROM tiles, k GROUP BY 1")
 def z_groups(spark, sf_dir):
     return tiles.z_groups(tile_rows(spark, sf_dir))
 
