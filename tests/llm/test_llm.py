@@ -145,7 +145,7 @@ def test_exact_topk(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "SHARD", 60)
     monkeypatch.setattr(exact_topk, "BLOCK", 3)
     r = np.random.default_rng(8)
-    data = [(k, [float(x) for x in r.normal(size=5)]) for k in range(300)] + [(400 + k, [1.0, 1, 1, 1, 1]) for k in range(80)]
+    data = [(k, [float(x) for x in r.normal(size=5)]) for k in range(300)] + [(400 + k, [1.0] * 5) for k in range(80)]
     bad = [(500, None), (600, [1.0, None, 1.0, 1.0, 1.0]), (700, [float("nan")] * 5), (None, [1.0] * 5), (800, [1.0, 2.0]), (0, data[0][1])]
     df = spark.createDataFrame(data + bad, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     got = {}
@@ -195,7 +195,7 @@ def test_myers():
 def test_decontamination(spark, docs, empty, monkeypatch):
     item = "What is the capital of the northern province, and which river runs through its old town today?"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "short"), (None, item), (4, ""), (5, " ".join(BASE[:12]))], "item_id long, text string")
-    texts = [(50, "intro " + item + " outro"), (51, item.upper().replace("province", "provinze")), (52, "What is the capital of a southern state"), (53, "SHORT!"), (54, "not short")]
+    texts = [(50, "intro " + item + " outro"), (51, item.replace("province", "provinze").upper()), (52, "What is the capital of a southern state"), (53, "SHORT!"), (54, "not short")]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(texts, "doc_id long, text string"))
     for size in (1_000_000, 50):
         monkeypatch.setattr(decontamination, "BLOCK_CHARS", size)

@@ -24,7 +24,7 @@ from weftwork.llm.common import batch_of, chunks, mixed
 HEAD, TAIL, SIDE, WIDTH, HIDDEN = 95, 32, 2, 8, 16
 CLASSES = 1 + HEAD + TAIL  # class 0 lies beyond a document's ends
 BUCKETS, TAIL_BUCKETS = 1 << 16, 1 << 11
-RUN_CHARS, GATHER, BATCH, RATE = 6_000_000, 6, 2048, 0.5
+RUN_CHARS, GATHER, BATCH, RATE = 6_000_000, 6, 512, 1.0
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
