@@ -34,7 +34,9 @@ from weftwork.llm.common import batch_of, chunks, mixed
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", ""  # the model's space; what stands for that character where a text itself has it
-RUN_CHARS = 2_500_000
+RUN_CHARS = 800_000
+#: Words of a worker's first run whose lattices it keeps for later ones: about 60 MB.
+KEPT_WORDS = 40_000
 #: Words up to these lengths share arrays; a longer one has its own.
 SIZES = (6, 9, 12, 16, 24, 40, 64)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -55,6 +57,7 @@ class Pieces:
         names = [model.id_to_piece(i) for i in range(n)]
         special = [model.is_control(i) or model.is_unknown(i) for i in range(n)]
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
+        self.kept: tuple[dict[str, int], Lattices | None] = {}, None
         self.ascii_ids = np.array([self.byte_ids.get(b, 0) for b in range(0x80)], np.int64)
         self.bytes = [bytes([int(x[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
         text = [(x, i) for i, x in enumerate(names) if not special[i] and not model.is_byte(i) and x]
@@ -125,6 +128,14 @@ class Lattices:
         self.last = (self.reach < self.reach[:, -1:]).sum(axis=1, dtype=np.int8)  # the last column of any weight
         self.options = (self.piece != -1).sum(axis=1, dtype=np.int8)  # at most: some may lead nowhere
 
+    def followed_by(self, other: Lattices) -> Lattices:
+        """These words' sums, then the other's, as one."""
+        out = object.__new__(Lattices)
+        out.first = np.concatenate((self.first, other.first + len(self.reach)))
+        for name in ("lengths", "reach", "log_p", "piece", "last", "options"):
+            setattr(out, name, np.concatenate((getattr(self, name), getattr(other, name))) if len(getattr(other, name)) else getattr(self, name).copy())
+        return out
+
     @staticmethod
     def _sums(vocabulary: Pieces, words: list[str], lengths: np.ndarray, size: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(words)
@@ -226,13 +237,18 @@ def _drawn(lattice: Lattices, kinds: np.ndarray, start: np.ndarray, begin: np.nd
 
 def _run(vocabulary: Pieces, texts: list[str | None], seeds: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
     """(text, sample, piece ids, log P, log inclusion) of some texts' samples."""
-    known: dict[str, int] = {}
-    kinds, sizes = [], []
+    kept, before = vocabulary.kept
+    known, kinds, sizes = dict(kept), [], []
     for text in texts:
         found = _WORD.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)) if text else []
         kinds += [known.setdefault(w, len(known)) for w in found]
         sizes.append(len(found))
-    lattice = Lattices(vocabulary, list(known))
+    lattice = Lattices(vocabulary, list(known)[len(kept) :])
+    if before is not None:
+        lattice = before.followed_by(lattice)
+    elif kinds:
+        chosen = [w for w, n in zip(known, np.bincount(kinds).tolist(), strict=True) if n > 1 and len(w) <= 16][:KEPT_WORDS]
+        vocabulary.kept = {w: i for i, w in enumerate(chosen)}, Lattices(vocabulary, chosen)
     if LITERAL in "".join(known):
         lattice.piece[lattice.piece == -2 - ord(LITERAL)] = -2 - ord(SPACE)
     kind, size = np.array(kinds, np.int64), np.array(sizes, np.int64)
