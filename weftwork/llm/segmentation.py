@@ -182,6 +182,7 @@ class Lattices:
         self._sum(vocabulary, n_rows, len(words))
 
     def _sum(self, vocabulary: Pieces, n_rows: int, n_words: int) -> None:
+        count = self.count.astype(np.int64)
         value = vocabulary.log_p[np.maximum(self.piece, 0)]
         code = -2 - self.piece[bare := np.flatnonzero(self.piece < 0)].astype(np.int64)
         value[bare] = vocabulary.byte_log_p * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
@@ -190,15 +191,15 @@ class Lattices:
         per_distance = np.diff(self.below[1:])
         distance = np.repeat(np.arange(1, len(per_distance) + 1), per_distance)
         word = np.arange(n_rows) - self.below[distance]
-        left = np.repeat(distance, self.count) - self.size
-        target = np.where(left > 0, self.below[left] + n_words, 0) + np.repeat(word, self.count)
+        left = np.repeat(distance, count) - self.size
+        target = np.where(left > 0, self.below[left] + n_words, 0) + np.repeat(word, count)
         del left, word, distance
         ahead, total, weights = np.zeros(n_words + n_rows), 0.0, np.empty(len(value))
         for d in range(1, len(self.below) - 1):
             a, b = self.below[d], self.below[d + 1]
             first = self.start[a]
             last = self.start[b] if b < n_rows else len(value)
-            starts, counts = self.start[a:b] - first, self.count[a:b]
+            starts, counts = self.start[a:b] - first, count[a:b]
             own = value[first:last]
             own += ahead[target[first:last]]
             most = np.maximum.reduceat(own, starts)
@@ -207,14 +208,16 @@ class Lattices:
             weights[first:last] = weight / np.repeat(total, counts)
             ahead[n_words + a : n_words + b] = sums = most + np.log(total)
             own -= np.repeat(sums, counts)
-        self.log_p = value.astype(np.float32)
+        #: Logarithms of an edge's probability and of all others' of its row.
+        self.log_p = np.empty((len(value), 2), np.float32)
+        self.log_p[:, 0] = value
         with np.errstate(divide="ignore"):
-            self.log_other = np.log(np.maximum(-np.expm1(np.minimum(value, 0)), 0)).astype(np.float32)
-        self.log_other[self.start[self.count == 1]] = -np.inf
+            self.log_p[:, 1] = np.log(np.maximum(-np.expm1(np.minimum(value, 0)), 0))
+        self.log_p[self.start[count == 1], 1] = -np.inf
         # cumulative probabilities within rows, as a table of a column for each option
         sums = np.cumsum(weights)
-        sums -= np.repeat(sums[self.start] - weights[self.start], self.count)
-        cells = np.arange(len(value)) + np.repeat(np.arange(n_rows) * vocabulary.options - self.start, self.count)
+        sums -= np.repeat(sums[self.start] - weights[self.start], count)
+        cells = np.arange(len(value)) + np.repeat(np.arange(n_rows) * vocabulary.options - self.start, count)
         self.reach = np.full(n_rows * vocabulary.options, 2, np.float32)
         self.reach[cells] = sums
         self.reach = self.reach.reshape(n_rows, vocabulary.options)
@@ -239,12 +242,13 @@ class Path:
 
     def __init__(self, edges: np.ndarray, place: np.ndarray, lattice: Lattices, value: float, seed: np.uint64, sample: int, first: int, barred: list[int]):
         self.edges, self.place, self.value, self.first, self.barred = edges, place, value, first, barred
-        sums = np.cumsum(lattice.log_p[edges], dtype=np.float64)
+        logs = lattice.log_p[edges]
+        sums = np.cumsum(logs[:, 0], dtype=np.float64)
         self.total = float(sums[-1]) if len(sums) else 0.0
         # branches from ``first`` on: everything with this prefix and another piece here
-        phi = lattice.log_other[edges[first:]].astype(np.float64)
+        phi = logs[first:, 1].astype(np.float64)
         if len(phi) and barred:
-            weights = np.exp(lattice.log_p[[edges[first], *barred]].astype(np.float64))
+            weights = np.exp(lattice.log_p[[edges[first], *barred], 0].astype(np.float64))
             options = lattice.edges_of(edges[first])[1] - len(barred)
             phi[0] = np.log(rest) if options > 1 and (rest := 1 - weights.sum()) > 0 else -np.inf
         phi[1:] += sums[first:-1]
@@ -290,14 +294,21 @@ def _run(vocabulary: Pieces, texts: list[str | None], seeds: np.ndarray, k: int)
     if any(SPACE in text for text in texts if text):
         present = set().union(*(text for text in texts if text))
         literal = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in present and not vocabulary.letter[ord(c)])
-    known: defaultdict[str, int] = defaultdict()
+    known: defaultdict[str, int] = defaultdict()  # words without the space that each begins with
     known.default_factory = known.__len__
     kinds, sizes = [], []
     for text in texts:
-        found = _WORD.findall(SPACE + text.replace(SPACE, literal).replace(" ", SPACE)) if text else []
+        if text and literal != SPACE:
+            text = text.replace(SPACE, literal)
+        if not text:
+            found = []
+        elif "  " in text or text[0] == " " or text[-1] == " ":
+            found = [w[1:] for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
+        else:
+            found = text.split(" ")
         kinds.extend(map(known.__getitem__, found))
         sizes.append(len(found))
-    lattice = Lattices(vocabulary, list(known))
+    lattice = Lattices(vocabulary, [SPACE + w for w in known])
     del known
     if literal != SPACE:
         lattice.piece[lattice.piece == -2 - ord(literal)] = -2 - ord(SPACE)
@@ -324,7 +335,7 @@ def _run(vocabulary: Pieces, texts: list[str | None], seeds: np.ndarray, k: int)
             p = own[parent]
             barred = [int(p.edges[at]), *(p.barred if at == p.first else [])]
             first, options = lattice.edges_of(p.edges[at])
-            weights = np.exp(lattice.log_p[first : first + options].astype(np.float64))
+            weights = np.exp(lattice.log_p[first : first + options, 0].astype(np.float64))
             weights[[x - first for x in barred]] = 0
             below = np.cumsum(weights / weights.sum())
             new = first + min(int(np.searchsorted(below, _uniform(seeds[d], sample, p.place[at : at + 1], 3)[0], side="right")), int(np.flatnonzero(weights)[-1]))
