@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from weftwork.functions import affine, text, units
 from weftwork.operators import graph, kernels, matching, pixels, tiles
 from weftwork.plans.registration import Config, Job, run
-from weftwork.sources import ngff
+from weftwork.sources import chunks, ngff
 
 
 def one(spark, column):
@@ -134,3 +134,26 @@ def test_arrivals(spark, tmp_path):
         query = pair_arrivals(spark, spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/known", f"{tmp_path}/edges", f"{tmp_path}/check")
         query.awaitTermination()
     assert sorted((e.i, e.j) for e in spark.read.parquet(f"{tmp_path}/edges").collect()) == [(0, 1), (1, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("codec", ["zstd", "gzip", ""])
+def test_zarr_chunks(spark, tmp_path, codec):
+    image = np.random.default_rng(2).integers(0, 60_000, (2, 10, 7)).astype(float)
+    name = f"file://{tmp_path}/tile.ome.zarr/0"
+    at = [(name, *map(int, p), float(image[p])) for p in np.ndindex(image.shape)]
+    more = [at[0], (name, 0, 10, 0, 1.0), (name, 0, -1, 0, 1.0), (name, 1, 1, 1, None)]  # repeated, outside, null
+    df = spark.createDataFrame([*at, *more], "array string, z long, y long, x long, value double").withColumn("chunk_z", F.lit("clash"))
+    chunks.save(spark, chunks.encoded(df, [2, 10, 7], [1, 4, 4], "uint16", codec), [2, 10, 7], [1, 4, 4], "uint16", codec)
+    stored = chunks.chunks(spark, str(tmp_path), level=0)
+    assert stored.count() == 2 * 3 * 2 and chunks.chunks(spark, str(tmp_path), level=1).count() == 0
+    got = chunks.pixels(stored).collect()
+    assert {(p.z, p.y, p.x): p.value for p in got} == {p[1:4]: p[4] for p in at} and len(got) == image.size
+    assert {(p.t, p.c) for p in got} == {(0, 0)}
+    assert chunks.encoded(df.where("false"), [2, 10, 7], [1, 4, 4], "uint16").count() == 0
+
+
+def test_zarr_codecs():
+    block = np.arange(6, dtype=">i4").tobytes()
+    assert chunks._decoded(block + b"none", ["bytes:big", "crc32c"]) == (block, ">")
+    with pytest.raises(ValueError):
+        chunks._decoded(block, ["bytes:little", "blosc"])

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from weftwork.functions import affine, text, units
 from weftwork.operators import graph, kernels, matching, pixels, tiles
 from weftwork.plans import registration
-from weftwork.sources import files
+from weftwork.sources import chunks, files
 from weftwork.sources.fixtures import SIDE, table
 from weftwork.sources.fixtures import pixels as pixel_rows
 from weftwork.sources.fixtures import tiles as tile_rows
@@ -494,3 +494,10 @@ def grid_offsets(spark, sf_dir):
 SELECT frame, tile_id, round(cx + (x - cx) * (1.1 - 0.1 * a), 6) AS x, round(cy + (y - cy) * (1.1 - 0.1 * a), 6) AS y FROM tiles, e, m""")
 def transition_frames(spark, sf_dir):
     return rounded(registration.transition(tile_rows(spark, sf_dir), 5, 1.1, 1.0), "x", "y")
+
+
+@query(f"WITH {PIXELS} SELECT tile_id::VARCHAR AS array, y::BIGINT AS y, x::BIGINT AS x, coalesce(CASE WHEN isnan(value) THEN NULL ELSE value END, 0) AS value FROM pixels")
+def zarr_chunks(spark, sf_dir):
+    """Tiles as compressed chunks of 4 by 4 pixels, decoded again."""
+    rows = pixel_rows(spark, sf_dir).select(F.col("tile_id").cast("string").alias("array"), "y", "x", "value")
+    return chunks.pixels(chunks.encoded(rows, [8, 8], [4, 4], "float64")).select("array", "y", "x", "value")
