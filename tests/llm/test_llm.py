@@ -279,6 +279,20 @@ def test_pseudo_likelihood(spark, docs, empty):
     assert pseudo_likelihood.scored(empty, pseudo_likelihood.train(empty)).count() == 0
 
 
+def test_pseudo_likelihood_counts_every_word(spark):
+    said = [f"w{i}xx" for i in range(20_000)]
+    corpus = spark.createDataFrame([(k, " ".join(said)) for k in range(20)], "doc_id long, text string")
+    model = pseudo_likelihood.train(corpus)
+    assert {r.n for r in model.words.collect()} == {20} and model.words.count() == len(said)
+    few = model._replace(vocabulary=model.vocabulary._replace(frequent=np.zeros(0, np.uint64), frequent_log=np.zeros(0)))
+    texts = [(0, said[7_000]), (1, "never-seenxx"), *((2 + i, f"junk{i}xx") for i in range(300)), *((1000 + i, said[i]) for i in range(300))]
+    probes = spark.createDataFrame(texts, "doc_id long, text string")
+    got, joined = ({r.doc_id: r.log_likelihood for r in pseudo_likelihood.scored(probes, m).collect()} for m in (model, few))
+    assert got == pytest.approx(joined, abs=1e-6)
+    real, junk = (np.array([got[i] for i in ids]) for ids in (range(1000, 1300), range(2, 302)))
+    assert got[0] > got[1] + 3 and np.ptp(junk) < 1e-6 and (real > junk.max() + 3).mean() > 0.9
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

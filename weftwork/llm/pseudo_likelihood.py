@@ -4,9 +4,10 @@ The network sees the classes of two words on either side of a masked word and gi
 word itself follows from its class by corpus counts. Frequent words are classes of their own, others share
 one by their last two bytes. A document's score is the sum of log P(word | both sides) over all its words.
 
-Counting, training and scoring each read every document. Counts and local models are made for each run of
-``RUN_CHARS`` characters, so what is gathered grows with the corpus; ``GATHER`` tasks add up streams of
-them and the driver receives one row from each, of a size that the corpus doesn't change.
+Counting, training and scoring each read every document. Every distinct word is counted, by its 64-bit hash,
+in a table that grows with the corpus. Scoring joins it; only the counts of the most frequent words, at most
+``FREQUENT``, are broadcast instead. Local models are made for each run of ``RUN_CHARS`` characters; ``GATHER``
+tasks add up streams of them and the driver receives one row from each, of a size that the corpus doesn't change.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import batch_of, chunks, mixed
+from weftwork.llm.common import Scratch, batch_of, chunks, mixed
 
 HEAD, TAIL, SIDE, WIDTH, HIDDEN = 95, 32, 2, 8, 16
 CLASSES = 1 + HEAD + TAIL  # class 0 lies beyond a document's ends
-BUCKETS, TAIL_BUCKETS = 1 << 16, 1 << 11
+#: Words whose counts are broadcast, at most (2 MB); and the fixed point of sums, so that their order doesn't matter.
+FREQUENT, POINT = 1 << 17, 1 << 28
 RUN_CHARS, GATHER, BATCH, RATE = 6_000_000, 6, 512, 1.0
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -51,24 +54,38 @@ def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return docs, hashes, mixed(last + np.uint64(7))
 
 
+def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are in an ascending array, and whether they are."""
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
+
+
 class Vocabulary(NamedTuple):
-    #: Class of each word bucket, 0 where the word's ending decides.
+    #: Hashes of the words that are classes of their own, ascending, and these classes.
     head: np.ndarray
-    #: log P(word | class) of each tail bucket.
-    within: np.ndarray
+    head_class: np.ndarray
+    #: Hashes of further frequent words, ascending, and the logarithms of their smoothed counts.
+    frequent: np.ndarray
+    frequent_log: np.ndarray
+    #: For each tail class the logarithm of its words' smoothed counts together, unseen ones counting as one word.
+    total: np.ndarray
     #: log frequency of each class.
     frequency: np.ndarray
 
-    def classes(self, hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log P(word | class) of words."""
-        head = self.head[hashes & np.uint64(BUCKETS - 1)]
-        tail, bucket = _tail(hashes, endings)
-        return np.where(head > 0, head, 1 + HEAD + tail).astype(np.int64), np.where(head > 0, 0.0, self.within[bucket])
+    def classes(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        at, found = _find(self.head, hashes)
+        tail = 1 + HEAD + (endings % np.uint64(TAIL)).astype(np.int64)
+        return np.where(found, self.head_class[at], tail) if len(self.head) else tail
 
-
-def _tail(hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    tail = (endings % np.uint64(TAIL)).astype(np.int64)
-    return tail, tail * TAIL_BUCKETS + (hashes >> np.uint64(40)).astype(np.int64) % TAIL_BUCKETS
+    def within(self, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | class) of words, and which of them still lack the logarithm of their count."""
+        tail = classes > HEAD
+        at, found = _find(self.frequent, hashes)
+        out = np.where(tail, -self.total[np.maximum(classes - HEAD - 1, 0)], 0.0)
+        found &= tail
+        out[found] += self.frequent_log[at[found]]
+        return out, tail & ~found
 
 
 Network = list[np.ndarray]
@@ -158,49 +175,71 @@ def _gathered(docs: DataFrame, make: Callable[[list[str | None]], list[np.ndarra
     return [sum((np.frombuffer(r[i], np.float64) for r in rows), zero[i]) for i in range(parts)]
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    def count(texts: list[str | None]) -> list[np.ndarray]:
-        _, hashes, endings = word_codes(texts)
-        bucket = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
-        tail, within = _tail(hashes, endings)
-        return [np.bincount(bucket, minlength=BUCKETS), np.bincount(within, minlength=TAIL * TAIL_BUCKETS)]
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, tail, n): each distinct word of all texts by its hash, its tail class and how often it occurs."""
+    schema = pa.schema([("word", pa.int64()), ("tail", pa.int32()), ("n", pa.int64())])
 
-    buckets, within = _gathered(docs, count, np.int32)
-    head = np.zeros(BUCKETS, np.int64)
-    top = np.lexsort((np.arange(BUCKETS), -buckets))[:HEAD]
-    head[top] = np.where(buckets[top] > 0, np.arange(1, HEAD + 1), 0)
-    within = within.reshape(TAIL, TAIL_BUCKETS)
-    shares = (within + 0.5) / (within + 0.5).sum(axis=1, keepdims=True)
-    frequency = np.zeros(CLASSES)
-    frequency[1 : HEAD + 1] = buckets[top]
-    rest = max(0.0, buckets.sum() - buckets[top].sum())
-    frequency[HEAD + 1 :] = rest * within.sum(axis=1) / max(1.0, within.sum())
-    return Vocabulary(head, np.log(shares).reshape(-1), np.log((frequency + 1) / (frequency + 1).sum()))
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in chunks(batch.column(0), RUN_CHARS):
+                _, hashes, endings = word_codes(texts)
+                found, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                yield batch_of(schema, found.view(np.int64), (endings[first] % np.uint64(TAIL)).astype(np.int32), n.astype(np.int64))
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(local, "word long, tail int, n long")
+    return Scratch(docs.sparkSession, "pseudo-likelihood").write(rows.groupBy("word").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")), "words")
+
+
+def vocabulary(words: DataFrame) -> Vocabulary:
+    """What is broadcast of the counts: the head, other words that occur often, and sums of the tail's classes."""
+    head = words.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    frequency, n, distinct = np.zeros(CLASSES), np.zeros(TAIL), np.zeros(TAIL)
+    for r in words.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # TAIL at most
+        n[r.tail], distinct[r.tail] = r.n, r.words
+    for i, r in enumerate(head, 1):
+        frequency[i] = r.n
+        n[r.tail] -= r.n
+        distinct[r.tail] -= 1
+    frequency[HEAD + 1 :] = n
+    sizes = {r.size: r.words for r in words.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("words")).collect()}  # 63 at most
+    least, held = max(sizes, default=0) + 1, 0
+    while least > 0 and held + sizes.get(least - 1, 0) <= FREQUENT:
+        least -= 1
+        held += sizes.get(least, 0)
+    often = words.where(F.floor(F.log2("n")) >= least).select("word", "n").toArrow()  # FREQUENT at most
+    hashes, counts = often.column("word").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    own = np.array([r.word for r in head], np.int64).view(np.uint64)
+    order, rest = np.argsort(own), np.flatnonzero(~np.isin(hashes, own))
+    rest = rest[np.argsort(hashes[rest])]
+    return Vocabulary(own[order], order + 1, hashes[rest], np.log(counts[rest] + 0.5), np.log(n + 0.5 * (distinct + 1)), np.log((frequency + 1) / (frequency + 1).sum()))
 
 
 class Model(NamedTuple):
     vocabulary: Vocabulary
     network: Network
+    #: The counts of all words, as of :func:`word_counts`.
+    words: DataFrame
 
 
 def train(docs: DataFrame) -> Model:
     """A model from all texts: each run of texts trains its own copy of one start, and copies are averaged by words."""
-    words = vocabulary(docs)
+    counts = word_counts(docs)
+    words = vocabulary(counts)
     start = _initial(words.frequency)
-    shared = docs.sparkSession.sparkContext.broadcast((words, start))  # about 0.8 MB, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast((words, start))  # about 2 MB, whatever the corpus
 
     def fit(texts: list[str | None]) -> list[np.ndarray]:
         vocabulary, net = shared.value
         doc, hashes, endings = word_codes(texts)
-        classes, _ = vocabulary.classes(hashes, endings)
+        classes = vocabulary.classes(hashes, endings)
         net = descend(net, windows(doc, classes), classes) if len(classes) else net
         return [np.concatenate([x.reshape(-1) for x in net]) * len(classes), np.array([len(classes)])]
 
     total, weight = _gathered(docs, fit, np.float64)
     if not weight[0]:
-        return Model(words, start)
+        return Model(words, start, counts)
     cuts = np.cumsum([x.size for x in start])[:-1]
-    return Model(words, [x.reshape(old.shape).astype(np.float32) for x, old in zip(np.split(total / weight[0], cuts), start, strict=True)])
+    return Model(words, [x.reshape(old.shape).astype(np.float32) for x, old in zip(np.split(total / weight[0], cuts), start, strict=True)], counts)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -210,17 +249,26 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     A null or wordless text has 0 words, log_likelihood 0 and per_word null. Equal rows score alike; other
     columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64()), ("per_word", pa.float64())])
+    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("known", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, net = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, texts in chunks(batch.column(1)):
                 doc, hashes, endings = word_codes(texts)
-                classes, within = vocabulary.classes(hashes, endings)
+                classes = vocabulary.classes(hashes, endings)
+                within, rare = vocabulary.within(hashes, classes)
                 value = log_probabilities(net, windows(doc, classes), classes) + within
                 n, total = np.bincount(doc, minlength=len(texts)), np.bincount(doc, value, len(texts))
-                yield batch_of(schema, batch.column(0).slice(first, len(texts)), n, total, pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
+                cuts = np.concatenate(([0], np.cumsum(np.bincount(doc[rare], minlength=len(texts))))).astype(np.int32)
+                yield batch_of(schema, np.arange(row, row + len(texts)), batch.column(0).slice(first, len(texts)), n, total, pa.ListArray.from_arrays(cuts, hashes[rare].view(np.int64)))
+                row += len(texts)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = Scratch(docs.sparkSession, "pseudo-likelihood").write(texts.mapInArrow(run, "row long, doc_id long, n_words long, known double, rare array<long>"), "rows")
+    logs = F.round(F.log(F.coalesce("n", F.lit(0)) + 0.5) * POINT).cast("long")
+    rare = found.select("row", F.explode("rare").alias("word")).join(model.words.select("word", "n"), "word", "left").groupBy("row").agg((F.sum(logs) / POINT).alias("logs"))
+    total = F.col("known") + F.coalesce("logs", F.lit(0.0))
+    return found.join(rare, "row", "left").select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word"))
