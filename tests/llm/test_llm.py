@@ -141,6 +141,29 @@ def test_pseudonyms(spark, docs, empty):
     assert pseudonyms.pseudonymised(empty).count() == 0 and pseudonyms.with_pseudonyms(docs).columns == docs.columns
 
 
+def test_pseudonyms_next_to_numbers():
+    p, q = pseudonyms.Pseudonymizer(b"k"), pseudonyms.Pseudonymizer(b"k", back=True)
+    alone = lambda x: p.text(x)[0]
+    phone, card, iban, ip, day = "+1 (826) 555-4081", "4041894974608795", "BE68 5390 0754 7034", "190.137.223.204", "2021-03-04"
+    phones = (phone, "+1 843 555 7672", "+44 20-7946-0958", "+493012345678")
+    for parts in (
+        *((x, y) for x in phones for y in (ip, "170.106.47.218", day, "04/03/2021", "123-45-6789", card, "4041 8949 7460 8795")),
+        *((x, y) for x in (*phones, card, "4041 8949 7460 8795", "378282246310005") for y in ("7", "42", "190", "20213", "123456789012")),
+        *((y, x) for x in (*phones, card, "4041 8949 7460 8795", ip, iban) for y in ("7", "42", "190", "20213")),
+        ("+44 20 7946 0958", ip), ("+44 20 7946 0958", day), (iban, "2021"), (iban, "AND"), (card, ip), (card, day), (card, card), (phone, phone), (ip, phone),
+    ):
+        text = f"see {' '.join(parts)} here"
+        new, n = p.text(text)
+        assert new == f"see {' '.join(map(alone, parts))} here" and n == sum(alone(x) != x for x in parts), text
+        assert q.text(new) == (text, n)
+    r = random.Random(3)
+    for _ in range(300):
+        body = "".join(r.choice("0123456789") for _ in range(r.choice((12, 14, 15))))
+        text = f"{body}{pseudonyms.luhn(body)} {r.randint(1, 999)}"
+        new, n = p.text(text)
+        assert n == 1 and new == f"{alone(text.split()[0])} {text.split()[1]}" and q.text(new) == (text, 1)
+
+
 def test_exact_topk(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "SHARD", 60)
     monkeypatch.setattr(exact_topk, "BLOCK", 3)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 
@@ -31,21 +31,24 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 #: Where a value can be; the patterns below run only around such places.
 NEAR = re.compile(r"[0-9@]+|AKIA|ghp_|password|passwd|token|secret|api_?key", re.IGNORECASE)
 REACH = 330
-PATTERN = re.compile(
-    r"""
-    (?P<email> (?<![\w.+%-]) [A-Za-z0-9][A-Za-z0-9._%+-]{0,63} @ [A-Za-z0-9-]+ (?:\.[A-Za-z0-9-]+)* \.[A-Za-z]{2,24} (?![\w@]) )
-  | (?P<aws> (?<![A-Za-z0-9]) AKIA [A-Z0-9]{16} (?![A-Za-z0-9]) )
-  | (?P<secret> (?: (?<=password=) | (?<=password:\ ) | (?<=passwd=) | (?<=token=) | (?<=secret=) | (?<=api_key=) | (?<=apikey=) | (?<=token\ =\ ") | (?<=secret\ =\ ") | (?<=api_key\ =\ ") ) [A-Za-z0-9_\-]{8,128} )
-  | (?P<iban> (?<![A-Za-z0-9]) [A-Z]{2}\d{2} (?:[ ]?[A-Z0-9]{4}){2,7} (?:[ ]?[A-Z0-9]{1,3})? (?![A-Za-z0-9]) )
-  | (?P<ip> (?<![\w.]) \d{1,3} (?:\.\d{1,3}){3} (?![\w]|\.\d) )
-  | (?P<iso> (?<![\w-]) \d{4} (?P<is>[-/.]) \d{1,2} (?P=is) \d{1,2} (?![\w-]) )
-  | (?P<dmy> (?<![\w./-]) \d{1,2} (?P<ds>[-/.]) \d{1,2} (?P=ds) \d{4} (?![\w-]) )
-  | (?P<ssn> (?<![\w-]) \d{3}-\d{2}-\d{4} (?![\w-]) )
-  | (?P<card> (?<![\w-]) \d (?:[ -]?\d){12,18} (?![\w-]) )
-  | (?P<phone> (?<![\w+]) (?: \+\d{1,3}[ .-]? (?:\(\d{1,4}\)[ .-]?)? \d{2,4} (?:[ .-]?\d{2,4}){1,4} | \(\d{3}\)[ ]?\d{3}[ .-]\d{4} | \d{3}[.-]\d{3}[.-]\d{4} ) (?![\w]) )
-    """,
-    re.VERBOSE,
-)
+#: For each kind what a value looks like and what may not follow it; earlier kinds come first.
+KINDS = {
+    "email": (r"(?<![\w.+%-]) [A-Za-z0-9][A-Za-z0-9._%+-]{0,63} @ [A-Za-z0-9-]+ (?:\.[A-Za-z0-9-]+)* \.[A-Za-z]{2,24}", r"(?![\w@])"),
+    "aws": (r"(?<![A-Za-z0-9]) AKIA [A-Z0-9]{16}", r"(?![A-Za-z0-9])"),
+    "secret": (r'''(?: (?<=password=) | (?<=password:\ ) | (?<=passwd=) | (?<=token=) | (?<=secret=) | (?<=api_key=) | (?<=apikey=) | (?<=token\ =\ ") | (?<=secret\ =\ ") | (?<=api_key\ =\ ") ) [A-Za-z0-9_\-]{8,128}''', ""),
+    "iban": (r"(?<![A-Za-z0-9]) [A-Z]{2}\d{2} (?:[ ]?[A-Z0-9]{4}){2,7} (?:[ ]?[A-Z0-9]{1,3})?", r"(?![A-Za-z0-9])"),
+    "ip": (r"(?<![\w.]) \d{1,3} (?:\.\d{1,3}){3}", r"(?![\w]|\.\d)"),
+    "iso": (r"(?<![\w-]) \d{4} (?P<is>[-/.]) \d{1,2} (?P=is) \d{1,2}", r"(?![\w-])"),
+    "dmy": (r"(?<![\w./-]) \d{1,2} (?P<ds>[-/.]) \d{1,2} (?P=ds) \d{4}", r"(?![\w-])"),
+    "ssn": (r"(?<![\w-]) \d{3}-\d{2}-\d{4}", r"(?![\w-])"),
+    "card": (r"(?<![\w-]) \d (?:[ -]?\d){12,18}", r"(?![\w-])"),
+    "phone": (r"(?<![\w+]) (?: \+\d{1,3}[ .-]? (?:\(\d{1,4}\)[ .-]?)? \d{2,4} (?:[ .-]?\d{2,4}){1,4} | \(\d{3}\)[ ]?\d{3}[ .-]\d{4} | \d{3}[.-]\d{3}[.-]\d{4} )", r"(?![\w])"),
+}
+PATTERN = re.compile("|".join(f"(?P<{kind}> {body} {after} )" for kind, (body, after) in KINDS.items()), re.VERBOSE)
+BODY, AFTER, WHOLE = ({kind: re.compile(form.format(*parts), re.VERBOSE) for kind, parts in KINDS.items()} for form in ("{0}", "{1}", "{0} {1}"))
+#: What comes before the groups of a phone number; groups of digits; characters of account numbers by country.
+PREFIX, GROUPS = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?"), re.compile(r"\d+")
+IBAN_CHARS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IS26 IT27 JO30 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VG24 XK20".split()}
 
 
 class Feistel:
@@ -99,6 +102,11 @@ def luhn(digits: str) -> int:
     return -sum(d - 9 if d > 9 else d for d in doubled) % 10
 
 
+def _shorter_cards(digits: str) -> list[bool]:
+    """Which of the first 13 to 16 digits of a longer number are a card number themselves."""
+    return [luhn(digits[: n - 1]) == int(digits[n - 1]) for n in range(13, min(len(digits), 17))]
+
+
 def mod97(country: str, rest: str) -> int:
     """The two check digits of an account number."""
     return 98 - int("".join(str(int(c, 36)) for c in f"{rest}{country}00")) % 97
@@ -154,8 +162,12 @@ class Pseudonymizer:
         if kind == "card":
             if luhn(plain[:-1]) != int(plain[-1]):
                 return None
-            body = f.string("card", plain[:-1], [DIGITS] * (len(plain) - 1))
-            return _refill(text, body + str(luhn(body)))
+            new, shorter = plain, _shorter_cards(plain)
+            while True:  # walks on until a pseudonym would be cut where the value was
+                body = f.string("card", new[:-1], [DIGITS] * (len(plain) - 1))
+                new = body + str(luhn(body))
+                if _shorter_cards(new) == shorter:
+                    return _refill(text, new)
         digits = len(plain)
         if kind != "phone" or not 7 <= digits <= 15:
             return None
@@ -207,6 +219,41 @@ class Pseudonymizer:
 
         return written(self.feistel.number(f"date{wide}", x, (LAST_DAY - FIRST_DAY).days + 1, lambda y: written(y) is not None))
 
+    def _at(self, text: str, start: int, stop: int, kinds: Iterable[str] = KINDS) -> tuple[int, str] | None:
+        """Where the value that starts at a place ends, and its pseudonym: the first kind and end that make a valid one."""
+        for kind in kinds:
+            if m := WHOLE[kind].match(text, start, stop):
+                for end in self._ends(kind, text, start, m.end(), stop):
+                    if (new := self.value(kind, text[start:end])) is not None:
+                        return end, new
+        return None
+
+    def _ends(self, kind: str, text: str, start: int, end: int, stop: int) -> list[int]:
+        """Where a value may end whose pattern reaches to ``end``, the likeliest first.
+
+        Patterns with spaces run on over a number that follows. What decides is kept by pseudonyms (signs,
+        countries, which numbers are valid), so that they are cut where the values were. Where a phone
+        number and the next number are written alike throughout, they can't be told apart: the longest counts.
+        """
+        if kind not in ("iban", "card", "phone"):
+            return [end]
+        ends = [e for e in range(start + 1, end) if text[e - 1].isalnum() and not text[e].isalnum() and BODY[kind].fullmatch(text, start, e) and AFTER[kind].match(text, e, stop)]
+        size = {e: sum(c.isalnum() for c in text[start:e]) for e in [*ends, end]}
+        longest = [end, *reversed(ends)]
+        if kind == "iban":
+            return sorted(longest, key=lambda e: size[e] != IBAN_CHARS.get(text[start : start + 2]))
+        if kind == "card":
+            groups = [len(g) for g in GROUPS.findall(text, start, end)]
+            if groups[0] < 4 <= max(groups):  # a short number before a card
+                return []
+            return [*(e for e in ends if size[e] <= 16 and text[e - 3 : e].isdigit()), end]
+        first = [e for e in longest if size[e] == 11] if text.startswith("+1", start) and not text[start + 2].isdigit() else []
+        first += [e for e in reversed(ends) if size[e] >= 7 and self._at(text, e + 1, stop, ("ip", "iso", "dmy", "ssn", "card"))]
+        if prefix := PREFIX.match(text, start):
+            signs = {e: {c for c in text[prefix.end() : e] if not c.isdigit()} for e in ends}
+            first += [e for e in ends if size[e] >= 10 and text[e] == " " and signs[e] != {" "}]
+        return [*first, *longest]
+
     def text(self, text: str | None) -> tuple[str | None, int]:
         """A text with its values replaced, and how many were."""
         if not text:
@@ -220,11 +267,13 @@ class Pseudonymizer:
                 spans.append([a, b])
         out, at, n = [], 0, 0
         for a, b in spans:
-            for m in PATTERN.finditer(text, max(a, at), b):
-                new = self.value(m.lastgroup if m.lastgroup not in ("is", "ds") else "iso" if m["iso"] else "dmy", m[0])
-                if new is not None:
-                    out += [text[at : m.start()], new]
-                    at, n = m.end(), n + 1
+            look = max(a, at)
+            while m := PATTERN.search(text, look, b):
+                found = self._at(text, m.start(), b)
+                look = m.start() + 1
+                if found:
+                    out += [text[at : m.start()], found[1]]
+                    at, n, look = found[0], n + 1, found[0]
         return "".join([*out, text[at:]]) if n else text, n
 
 
