@@ -230,6 +230,16 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert not any(x.contaminated for x in decontamination.contamination(docs, bench.where("false")).collect())
 
 
+def test_decontamination_by_short_items(spark):
+    bench = spark.createDataFrame([(1, "Paris, in 1889"), (2, "42 km"), (3, "photosynthesis"), (4, "on a mat")], "item_id long, text string")
+    texts = [(1, "It was shown at paris in 1889 for all"), (2, "He ran 42 km!"), (3, "x 142 km, 42 kmh"), (4, "by Photosynthesis, plants"), (5, "PHOTOSYNTHESIS"), (6, "at Pariz in 1889"), (7, "sat on a matter"), (8, "on a mat"), (9, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.item_ids, r.distances) for r in decontamination.contamination(docs, bench).collect()}
+    none = (False, [], [])
+    assert got == {1: (True, [1], [0]), 2: (True, [2], [0]), 3: none, 4: (False, [3], [0]), 5: (True, [3], [0]), 6: (True, [1], [1]), 7: none, 8: (True, [4], [0]), 9: none}
+    assert {r.doc_id for r in decontamination.uncontaminated(docs, bench).collect()} == {3, 4, 7, 9}
+
+
 def test_token_counts(spark, docs, empty):
     encode = token_histogram.encoding(token_histogram.TOKENIZER).encode_ordinary
     lengths = [len(encode(t)) if t else 0 for _, t in ROWS]

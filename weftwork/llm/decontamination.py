@@ -4,7 +4,7 @@ Texts are compared as UTF-8 bytes after lower-casing, with runs of spaces, ASCII
 characters as one space. A test item may occur with ``budget`` edits: it is cut in budget + 1 pieces, one of
 which must then occur unchanged. One Aho-Corasick automaton finds the pieces of a block of items in whole
 texts; the text around a hit is verified with Myers' bit-parallel distance, a machine word as wide as the
-item. Items are taken in blocks of at most ``BLOCK_CHARS`` characters, so neither an automaton nor what is
+item. Short items are searched for with a space on either side, so as whole words. Items are taken in blocks of at most ``BLOCK_CHARS`` characters, so neither an automaton nor what is
 sent to the executors grows with the benchmark.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.common import Scratch, batch_of
 
-#: Edits allowed for each hundred bytes of an item; items shorter than ``SHORTEST`` must be the whole document.
+#: Edits allowed for each hundred bytes of an item; items shorter than ``SHORTEST`` are searched for as whole words.
 EDITS_PERCENT, SHORTEST, BLOCK_CHARS = 8, 25, 1_000_000
 #: Blocks that one pass over the documents takes; more are further passes over a written table.
 BLOCKS = 64
@@ -64,11 +64,9 @@ class Items:
     """A block of normalised test items, ready for matching."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int):
-        self.items = {i: (text, len(text) * percent // 100, peq(text)) for i, text in items if len(text) >= SHORTEST}
-        self.short: dict[str, list[int]] = {}
-        for i, text in items:
-            if text and len(text) < SHORTEST:
-                self.short.setdefault(text, []).append(i)
+        self.items = {i: (text if len(text) >= SHORTEST else f" {text} ", len(text) * percent // 100, peq(text if len(text) >= SHORTEST else f" {text} ")) for i, text in items if text}
+        #: Short items of one word: a text that holds one is a copy only if it is nothing else.
+        self.words = {i: text for i, text in items if text and len(text) < SHORTEST and " " not in text}
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (text, budget, _) in self.items.items():
             for offset, piece in pieces(text, budget):
@@ -86,13 +84,17 @@ class Items:
 
     def matches(self, text: str) -> dict[int, int]:
         """The items that a normalised text holds, with their least distance."""
-        out = {i: 0 for i in self.short.get(text, ())}
+        out: dict[int, int] = {}
         if not len(self.automaton):
             return out
+        text = f" {text} "
         spans: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.automaton.iter(text):
             for item, offset in places:
                 whole, budget, _ = self.items[item]
+                if not budget:
+                    out[item] = 0
+                    continue
                 a = end + 1 - size - offset
                 a, b = max(0, a - budget), a + len(whole) + budget
                 runs = spans.setdefault(item, [])
@@ -106,6 +108,10 @@ class Items:
                 out[item] = min(found)
         return out
 
+    def copied(self, item: int, text: str) -> bool:
+        """Whether an item that a normalised text holds makes the text contaminated."""
+        return self.words.get(item, text) == text
+
 
 def peq(item: str) -> dict[str, int]:
     """For each character the bits of its places in the item."""
@@ -133,21 +139,23 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def _pass(rows: DataFrame, blocks: list[list[tuple[int, str]]], percent: int) -> DataFrame:
     """``rows`` (doc_id, text, held) with the matches of some blocks added to held."""
     shared = [rows.sparkSession.sparkContext.broadcast(b) for b in blocks]
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("held", pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("held", pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("copied", pa.bool_())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = Items(shared[0].value, percent) if len(shared) == 1 else None
         for batch in batches:
-            held: list[dict[int, int]] = [{h["item"]: h["distance"] for h in old or ()} for old in batch.column(2).to_pylist()]
+            held: list[dict[int, tuple[int, bool]]] = [{h["item"]: (h["distance"], h["copied"]) for h in old or ()} for old in batch.column(2).to_pylist()]
             for block in shared:  # one automaton at a time
                 items = only or Items(block.value, percent)
                 for own, text in zip(held, batch.column(1), strict=True):
                     if text.is_valid:
-                        for item, d in items.matches(normalised(text.as_py())).items():
-                            own[item] = min(d, own.get(item, d))
-            yield batch_of(schema, batch.column(0), batch.column(1), [[{"item": i, "distance": d} for i, d in sorted(own.items())] for own in held])
+                        plain = normalised(text.as_py())
+                        for item, d in items.matches(plain).items():
+                            before, copied = own.get(item, (d, False))
+                            own[item] = min(d, before), copied or items.copied(item, plain)
+            yield batch_of(schema, batch.column(0), batch.column(1), [[{"item": i, "distance": d, "copied": c} for i, (d, c) in sorted(own.items())] for own in held])
 
-    return rows.mapInArrow(run, "doc_id long, text string, held array<struct<item: long, distance: int>>")
+    return rows.mapInArrow(run, "doc_id long, text string, held array<struct<item: long, distance: int, copied: boolean>>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PERCENT) -> DataFrame:
@@ -155,22 +163,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PE
 
     item_ids are the items of ``benchmark`` (item_id, text) of which the text holds a copy with at most
     percent edits for each hundred bytes, ascending, and distances their least edit distances. Null and empty
-    texts hold nothing; items without id or words are held by nothing, and those under ``SHORTEST`` bytes only
-    by documents that consist of them. Equal rows give equal results; other columns are ignored.
+    texts hold nothing; items without id or words are held by nothing. Items under ``SHORTEST`` bytes are held as
+    whole words; those of one word are listed wherever they occur, but as any text may use a word they make a
+    document contaminated only if it consists of them. Equal rows give equal results; other columns are ignored.
     """
     scratch, blocks, n = Scratch(docs.sparkSession, "decontamination"), [], 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("held", F.lit(None).cast("array<struct<item: long, distance: int>>"))
+    rows = rows.withColumn("held", F.lit(None).cast("array<struct<item: long, distance: int, copied: boolean>>"))
     for block in _blocks(benchmark):
         if len(blocks) == BLOCKS:
             rows, blocks, n = scratch.write(_pass(rows, blocks, percent), f"pass-{n}"), [], n + 1
         blocks.append(block)
-    rows = _pass(rows, blocks, percent) if blocks else rows.withColumn("held", F.array().cast("array<struct<item: long, distance: int>>"))
-    return rows.select("doc_id", (F.size("held") > 0).alias("contaminated"), F.col("held.item").alias("item_ids"), F.col("held.distance").alias("distances"))
+    rows = _pass(rows, blocks, percent) if blocks else rows.withColumn("held", F.array().cast("array<struct<item: long, distance: int, copied: boolean>>"))
+    return rows.select("doc_id", F.exists("held", lambda h: h.copied).alias("contaminated"), F.col("held.item").alias("item_ids"), F.col("held.distance").alias("distances"))
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose text holds no test item, with all their columns; one pass for each ``BLOCKS`` blocks."""
+    """The rows of ``docs`` that are not contaminated, with all their columns; one pass for each ``BLOCKS`` blocks."""
     blocks = []
     for block in _blocks(benchmark):
         if len(blocks) == BLOCKS:
@@ -189,7 +198,10 @@ def _held(docs: DataFrame, blocks: list[list[tuple[int, str]]], percent: int) ->
             if n not in ready:
                 ready.clear()  # one automaton at a time
                 ready[n] = Items(block.value, percent)
-            found = [old or t.is_valid and bool(ready[n].matches(normalised(t.as_py()))) for old, t in zip(found, texts, strict=True)]
+            for i, t in enumerate(texts):
+                if not found[i] and t.is_valid:
+                    plain = normalised(t.as_py())
+                    found[i] = any(ready[n].copied(item, plain) for item in ready[n].matches(plain))
         return pa.array(found, pa.bool_())
 
     return held(F.col("text").cast("string"))
