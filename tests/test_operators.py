@@ -157,3 +157,15 @@ def test_zarr_codecs():
     assert chunks._decoded(block + b"none", ["bytes:big", "crc32c"]) == (block, ">")
     with pytest.raises(ValueError):
         chunks._decoded(block, ["bytes:little", "blosc"])
+
+
+def test_translations_of_many_tiles(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    tiles_ = spark.range(23).select(F.col("id").alias("tile_id"))  # two parts and a tile without edges
+    links = [(i, j) for part in (range(12), range(12, 22)) for i in part for j in part if i < j and (j == i + 1 or r.random() < 0.2)]
+    made = [(i, j, [1.0, 0.0, float(r.normal()), 0.0, 1.0, float(r.normal())], float(r.random()) if j == i + 1 else float(r.integers(0, 2))) for i, j in links]
+    edges = spark.createDataFrame(made, "i long, j long, matrix array<double>, quality double")
+    whole = {x.tile_id: (x.dx, x.dy) for x in graph.translations(edges, tiles_).collect()}
+    monkeypatch.setattr(graph, "SOLVE_TILES", 5)
+    found = {x.tile_id: (x.dx, x.dy) for x in graph.translations(edges, tiles_).collect()}
+    assert found.keys() == whole.keys() and all(found[k] == pytest.approx(whole[k], abs=1e-9) for k in whole)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from weftwork.functions import affine
 
-#: Tiles that one least-squares system may hold on the driver: 200 MB; larger jobs go by shortest paths.
+#: Tiles that one least-squares system may hold on the driver: 200 MB; larger ones are solved by steps in Spark.
 SOLVE_TILES = 5_000
+#: Where these steps end: what is left of the equations' error.
+TOLERANCE = 1e-13
 
 
 def filtered(edges: DataFrame, least: float) -> DataFrame:
@@ -70,15 +72,17 @@ def shortest_paths(edges: DataFrame, tiles: DataFrame, root: int | None = None)
 def translations(edges: DataFrame, tiles: DataFrame) -> DataFrame:
     """(tile_id, dx, dy): shifts that agree best with all edges, weighted by quality; each component's smallest tile stays.
 
-    Spark sums the normal equations; the driver solves them up to ``SOLVE_TILES`` tiles. Beyond, shifts
-    follow shortest paths.
+    Spark sums the normal equations; the driver solves them up to ``SOLVE_TILES`` tiles. Beyond, the same
+    equations are solved by conjugate gradients, whose steps are joins and sums in Spark.
     """
     n = tiles.count()
-    if n > SOLVE_TILES:
-        return shortest_paths(edges, tiles).select("tile_id", F.col("matrix")[2].alias("dx"), F.col("matrix")[5].alias("dy"))
     w = edges.where("quality > 0").select("i", "j", F.col("quality").alias("w"), F.col("matrix")[2].alias("tx"), F.col("matrix")[5].alias("ty"))
     entries = w.select(F.explode(F.array(*(F.struct(F.col(a).alias("r"), F.col(b).alias("c"), (s * F.col("w")).alias("w")) for a, b, s in (("i", "i", 1), ("j", "j", 1), ("i", "j", -1), ("j", "i", -1))))).alias("e")).select("e.*").groupBy("r", "c").agg(F.sum("w").alias("w"))
     right = w.select(F.explode(F.array(F.struct(F.col("i").alias("r"), (-F.col("w") * F.col("tx")).alias("x"), (-F.col("w") * F.col("ty")).alias("y")), F.struct(F.col("j").alias("r"), (F.col("w") * F.col("tx")).alias("x"), (F.col("w") * F.col("ty")).alias("y")))).alias("e")).select("e.*").groupBy("r").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    if n > SOLVE_TILES:
+        found = _by_steps(entries, right, tiles, n).join(components(edges.where("quality > 0"), tiles), "tile_id")
+        still = found.where("tile_id = component").select("component", F.col("x").alias("x0"), F.col("y").alias("y0"))
+        return found.join(still, "component").select("tile_id", (F.col("x") - F.col("x0")).alias("dx"), (F.col("y") - F.col("y0")).alias("dy"))
     ids = [r[0] for r in tiles.select("tile_id").orderBy("tile_id").collect()]  # SOLVE_TILES at most
     at = {t: k for k, t in enumerate(ids)}
     a, b = np.zeros((n, n)), np.zeros((n, 2))
@@ -93,6 +97,35 @@ def translations(edges: DataFrame, tiles: DataFrame) -> DataFrame:
     return tiles.sparkSession.createDataFrame([(t, float(x), float(y)) for t, (x, y) in zip(ids, solved, strict=True)], "tile_id long, dx double, dy double")
 
 
+def _by_steps(entries: DataFrame, right: DataFrame, tiles: DataFrame, n: int) -> DataFrame:
+    """(tile_id, x, y): a solution of the equations by conjugate gradients over their diagonal.
+
+    No tile is held in place, so a component's solution is free by a shift. Each step joins the entries
+    with the direction and brings four sums to the driver.
+    """
+    entries = entries.checkpoint()
+    own = entries.where("r = c").select(F.col("r").alias("tile_id"), F.col("w").alias("d"))
+    state = tiles.select("tile_id").join(own, "tile_id", "left").join(right.withColumnRenamed("r", "tile_id"), "tile_id", "left")
+    state = state.select("tile_id", F.coalesce("d", F.lit(1.0)).alias("d"), *(c for k in "xy" for c in (F.lit(0.0).alias(k), F.coalesce(k, F.lit(0.0)).alias(f"r{k}"))))
+    state = state.select("*", *((F.col(f"r{k}") / F.col("d")).alias(f"p{k}") for k in "xy")).checkpoint()
+
+    def sums(df: DataFrame, *parts: str) -> list[float]:
+        return [v or 0.0 for v in df.agg(*(F.sum(F.expr(p)) for p in parts)).first()]
+
+    left = start = sums(state, "rx * rx / d", "ry * ry / d")
+    for _ in range(10 * n):
+        if all(now <= TOLERANCE**2 * first for now, first in zip(left, start, strict=True)):
+            return state.select("tile_id", "x", "y")
+        turned = entries.join(state.select(F.col("tile_id").alias("c"), "px", "py"), "c").groupBy("r").agg(F.sum(F.col("w") * F.col("px")).alias("ax"), F.sum(F.col("w") * F.col("py")).alias("ay"))
+        state = state.join(turned.withColumnRenamed("r", "tile_id"), "tile_id", "left").fillna(0.0, ["ax", "ay"]).checkpoint()
+        step = [now / bent if bent > 0 else 0.0 for now, bent in zip(left, sums(state, "px * ax", "py * ay"), strict=True)]
+        state = state.select("tile_id", "d", *(c for k, a in zip("xy", step, strict=True) for c in ((F.col(k) + a * F.col(f"p{k}")).alias(k), (F.col(f"r{k}") - a * F.col(f"a{k}")).alias(f"r{k}"), F.col(f"p{k}"))))
+        before, left = left, sums(state, "rx * rx / d", "ry * ry / d")
+        turn = [now / old if old > 0 else 0.0 for now, old in zip(left, before, strict=True)]
+        state = state.select("tile_id", "d", *(c for k, b in zip("xy", turn, strict=True) for c in (F.col(k), F.col(f"r{k}"), (F.col(f"r{k}") / F.col("d") + b * F.col(f"p{k}")).alias(f"p{k}"))))
+    raise ArithmeticError("the shifts' equations were not solved to the tolerance")
+
+
 def residuals(edges: DataFrame, shifts: DataFrame) -> DataFrame:
     """(i, j, residual): how far an edge is from the tiles' shifts."""
     a, b = (shifts.select(F.col("tile_id").alias(k), F.col("dx").alias(f"{k}x"), F.col("dy").alias(f"{k}y")) for k in "ij")
