@@ -89,6 +89,17 @@ def test_near_dedup(spark, docs, empty, size):
     assert set(near_dedup.deduplicated(docs, size).columns) == set(docs.columns)
 
 
+def test_near_dedup_links_all_texts_of_a_document(spark):
+    t = [" ".join(f"{c}{i}" for i in range(40)) for c in "uvwxyz"]
+    near = t[2].replace("w39", "other")
+    data = [(1, t[0]), (5, t[0]), (5, t[1]), (9, t[1]), (20, t[2]), (21, near), (21, t[3]), (22, t[3]), (22, t[4]), (30, t[5])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (9, 1, False), (20, 20, True), (21, 20, False), (22, 20, False), (30, 30, True)}
+    apart = spark.createDataFrame([(7, t[0]), (7, t[1]), (8, t[1]), (3, t[1])], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(apart).collect()} == {(7, 3), (8, 3), (3, 3)}
+
+
 def test_bayes_keeps_similar_pairs():
     r = np.random.default_rng(0)
     least = near_dedup.least_matches(0.8, 1e-6)

@@ -193,6 +193,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         payload = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_payload(shingle_words, wanted), "doc long, signature binary, shingles binary")
         payload = scratch.write(payload, "payload")
         found = _link(scratch, active, payload, percent, miss)
+    ties = _ties(scratch, named, classes)
+    if ties is not None:
+        found = _merged(scratch, found, ties, 2)
 
     of_class = classes.select("set_key", "doc").join(found, "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component_id"))
     of_class = scratch.write(of_class, "of-class")
@@ -201,6 +204,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _ties(scratch: Scratch, named: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(a, b): the smallest documents of classes that a doc_id with different texts belongs to."""
+    many = named.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x < y").select("doc_id")
+    many = scratch.write(many, "many")
+    if many.isEmpty():
+        return None
+    ends = named.join(many, "doc_id").select("doc_id", "set_key").distinct().join(classes.select("set_key", F.col("doc").alias("b")), "set_key")
+    ends = scratch.write(ends.select("doc_id", "b").distinct(), "ends")
+    return ends.join(ends.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a < b").select("a", "b").distinct()
+
+
 def _link(scratch: Scratch, active: DataFrame, payload: DataFrame, percent: int, miss: float) -> DataFrame:
     """(doc, component) of the documents that have a confirmed link. ``active``: band, doc, pivot (its smallest)."""
     verify = _verify(percent, miss)
@@ -219,13 +233,18 @@ def _link(scratch: Scratch, active: DataFrame, payload: DataFrame, percent: int,
     links = confirmed(cold, "links-1")
     if blocks is not None:
         links = links.union(scratch.write(blocks.join(payload, "doc").groupBy("cluster", "pair").applyInArrow(_block_pair(percent, miss), "a long, b long"), "links-2"))
+    return _merged(scratch, found, links, 1)
+
+
+def _merged(scratch: Scratch, found: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """``found`` (doc, component) after further links (a, b)."""
     named = found.select(F.col("doc").alias("k"), F.col("component").alias("c"))
     ends = links.join(named.select(F.col("k").alias("a"), F.col("c").alias("ac")), "a", "left").join(named.select(F.col("k").alias("b"), F.col("c").alias("bc")), "b", "left")
     ends = ends.select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
-    merged = components(scratch, ends, "a", "b", "round-1").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    merged = components(scratch, ends, "a", "b", f"round-{n}").select(F.col("node").alias("component"), F.col("component").alias("root"))
     grown = found.join(merged, "component", "left").select("doc", F.coalesce("root", "component").alias("component"))
     fresh = merged.select(F.col("component").alias("doc"), F.col("root").alias("component")).join(found.select("doc"), "doc", "left_anti")
-    return scratch.write(grown.union(fresh), "found-1")
+    return scratch.write(grown.union(fresh), f"found-{n}")
 
 
 def _rest(scratch: Scratch, active: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame | None] | None:
