@@ -169,3 +169,14 @@ def test_translations_of_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(graph, "SOLVE_TILES", 5)
     found = {x.tile_id: (x.dx, x.dy) for x in graph.translations(edges, tiles_).collect()}
     assert found.keys() == whole.keys() and all(found[k] == pytest.approx(whole[k], abs=1e-9) for k in whole)
+
+
+def test_overlaps_of_far_tiles(spark):
+    at = [(0, 0.0, 0.0, 1.0), (1, 0.6, 0.0, 1.0), (2, 9.9, 9.9, 1.0), (3, 13.9, 13.9, 1.0), (4, 9.9, 14.1, 1.0), (5, 200.0, -80.0, 1.0), (6, 100.0, 3.0, 1.5)]
+    df = spark.createDataFrame([(i, x, y, 0.0, s, s) for i, x, y, s in at], "tile_id long, x double, y double, z double, sx double, sy double")
+    got = {r.tile_id: r for r in tiles.overlaps(df).collect()}
+    for i, x, y, s in at:
+        least = min(np.hypot(x + s / 2 - u - t / 2, y + s / 2 - v - t / 2) / ((s + t) / 2 * np.sqrt(2)) for j, u, v, t in at if j != i)
+        assert got[i].nearest == pytest.approx(least) and got[i].has_overlap == (least < 1) and got[i].large == (least <= 0.5)
+    alone = tiles.overlaps(df.where("tile_id = 5")).collect()
+    assert [(r.nearest, r.has_overlap) for r in alone] == [(None, False)]

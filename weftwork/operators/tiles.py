@@ -15,10 +15,14 @@ def _sides(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _neighbours(tiles: DataFrame, limit: Column | float) -> DataFrame:
     """Pairs i < j from the same or a neighbouring grid cell: an equi-join on cells instead of all pairs."""
     size = tiles.agg(F.max(limit if isinstance(limit, Column) else F.lit(limit))).first()[0] or 1.0
-    celled = tiles.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
-    own, other = _sides(celled.withColumn("cell", F.struct("cx", "cy")))
+    return _around(tiles, tiles, size).where("a_tile_id < b_tile_id")
+
+
+def _around(some: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
+    """Each of some tiles with all others in its grid cell and those next to it."""
+    own, other = (_sides(t.withColumn("cell", F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))))[k] for k, t in enumerate((some, tiles)))
     near = F.explode(F.array(*(F.struct((F.col("a_cell.cx") + dx).alias("cx"), (F.col("a_cell.cy") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-    return own.withColumn("cell", near).join(other, F.col("cell") == F.col("b_cell")).where("a_tile_id < b_tile_id").drop("cell", "a_cell", "b_cell")
+    return own.withColumn("cell", near).join(other, F.col("cell") == F.col("b_cell")).where("a_tile_id != b_tile_id").drop("cell", "a_cell", "b_cell")
 
 
 def _center(side: str, axis: str) -> Column:
@@ -66,12 +70,32 @@ def consecutive(tiles: DataFrame) -> DataFrame:
 
 
 def overlaps(tiles: DataFrame) -> DataFrame:
-    """(tile_id, nearest, has_overlap, large): nearest center distance over the mean diagonal, among neighbours."""
-    found = _neighbours(tiles, F.greatest("sx", "sy") * 2).withColumn("distance", _distance(True))
+    """(tile_id, nearest, has_overlap, large): nearest center distance over the mean diagonal.
+
+    Neighbours are searched first. A tile whose nearest may lie beyond them is searched again in cells twice
+    as wide, until it can't or all tiles are neighbours.
+    """
     mean = (F.sqrt(F.pow("a_sx", 2) + F.pow("a_sy", 2)) + F.sqrt(F.pow("b_sx", 2) + F.pow("b_sy", 2))) / 2
-    found = found.select(F.explode(F.array("a_tile_id", "b_tile_id")).alias("tile_id"), (F.col("distance") / mean).alias("ratio"))
-    nearest = tiles.select("tile_id").join(found.groupBy("tile_id").agg(F.min("ratio").alias("nearest")), "tile_id", "left")
-    return nearest.select("tile_id", "nearest", F.coalesce(F.col("nearest") < 1, F.lit(False)).alias("has_overlap"), F.coalesce(F.col("nearest") <= 0.5, F.lit(False)).alias("large"))
+
+    def ratios(found: DataFrame) -> DataFrame:
+        return found.select("a_tile_id", "b_tile_id", (F.col("distance") / mean).alias("ratio"))
+
+    found = ratios(_neighbours(tiles, F.greatest("sx", "sy") * 2).withColumn("distance", _distance(True)))
+    found = found.select(F.explode(F.array("a_tile_id", "b_tile_id")).alias("tile_id"), "ratio").groupBy("tile_id").agg(F.min("ratio").alias("nearest"))
+    found = tiles.select("tile_id").join(found, "tile_id", "left")
+    side, diagonal, width = tiles.agg(F.max(F.greatest("sx", "sy")), F.max(F.sqrt(F.pow("sx", 2) + F.pow("sy", 2))), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()
+    size = 2 * (side or 0.0)
+    while diagonal and size < width:
+        # a tile out of the searched cells is further than their size from corner to corner
+        found = found.persist()
+        open_ = found.where(F.coalesce(F.col("nearest") > (size - side / 2) / diagonal, F.lit(True))).select("tile_id")
+        if open_.isEmpty():
+            break
+        size *= 2
+        more = _around(tiles.join(open_, "tile_id"), tiles, size).withColumn("distance", _distance(True))
+        more = ratios(more).groupBy(F.col("a_tile_id").alias("tile_id")).agg(F.min("ratio").alias("further"))
+        found = found.join(more, "tile_id", "left").select("tile_id", F.least("nearest", "further").alias("nearest"))
+    return found.select("tile_id", "nearest", F.coalesce(F.col("nearest") < 1, F.lit(False)).alias("has_overlap"), F.coalesce(F.col("nearest") <= 0.5, F.lit(False)).alias("large"))
 
 
 def overlap_boxes(tiles: DataFrame) -> DataFrame:
