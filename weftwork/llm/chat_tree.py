@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import Scratch, batch_of, shuffle_partitions
-from weftwork.llm.token_histogram import TOKENIZER, encoding
+from weftwork.llm.token_histogram import TOKENIZER, encoded, encoding
 
 # Strings that mean something to this template or to other common chat templates.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -69,12 +69,12 @@ def _encode(tokenizer: str):
     schema = pa.schema([("path", pa.binary()), ("role", pa.string()), ("segment", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("token_ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(tokenizer).encode_ordinary
+        tokens = encoding(tokenizer)
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for path, role, text in zip(*(batch.column(c).to_pylist() for c in ("path", "role", "text")), strict=True):
                 head, body = TURN + escaped(role) + TEXT, escaped(text)
-                parts = [encode(x) for x in (head, body, END) if x]
+                parts = [encoded(tokens, x) for x in (head, body, END) if x]
                 masked = (len(head), len(head) + len(body)) if role == "assistant" else (0, 0)
                 for column, value in zip(out, (path, role, head + body + END, *masked, sum(parts, [])), strict=True):
                     column.append(value)

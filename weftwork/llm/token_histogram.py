@@ -8,6 +8,7 @@ over the blocks' totals, so no task sees more than one block or one row for each
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern that this byte-level vocabulary was made with.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1024
+#: Runs of white space of this length are encoded by themselves: the pattern's look-ahead takes a stack frame for each character.
+LONG = 10_000
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100,}")
 
 
 @lru_cache(maxsize=4)
@@ -33,14 +37,36 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("weftwork", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoded(encoding_: tiktoken.Encoding, text: str) -> list[int]:
+    """The tokens of a text, however long its runs of white space are.
+
+    The pattern cuts such a run before its last character, which belongs to what follows, or at the text's
+    end; cutting there first leaves all tokens as they were.
+    """
+    if len(text) < LONG:
+        return encoding_.encode_ordinary(text)
+    out, at = [], 0
+    for m in _SPACES.finditer(text):
+        a, b = m.span()
+        if b - a >= LONG:
+            end = b if b == len(text) else b - 1
+            out += encoding_.encode_ordinary(text[at:a])
+            out += encoding_._encode_single_piece(text[a:end])
+            at = end
+    return out + encoding_.encode_ordinary(text[at:])
+
+
 def length_histogram(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(n_tokens, n_docs): documents by encoded length of their whole text. A null text has no tokens, as an empty one."""
+    """(n_tokens, n_docs): documents by encoded length of their whole text. A null text has no tokens, as an empty one.
+
+    Each row counts, repeated ones too; other columns than text are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, encode = pa.schema([("n_tokens", pa.int64()), ("n_docs", pa.int64())]), encoding(tokenizer).encode_ordinary
+        schema, tokens = pa.schema([("n_tokens", pa.int64()), ("n_docs", pa.int64())]), encoding(tokenizer)
         for batch in batches:
             if batch.num_rows:
-                lengths = [len(encode(t)) if t else 0 for t in (x.as_py() for x in batch.column(0))]
+                lengths = [len(encoded(tokens, t)) if t else 0 for t in (x.as_py() for x in batch.column(0))]
                 yield batch_of(schema, *np.unique(np.array(lengths, np.int64), return_counts=True))
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
