@@ -24,17 +24,27 @@ SHIFT = np.uint64(33)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Only a local session, whose executors are the driver, gets a new folder of its own where both are unset.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftwork-"))
-            known = spark.sparkContext.getCheckpointDir()
-        path = known
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftwork-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the DataFrame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Intermediate tables in the shared folder; writing one cuts the lineage and survives lost executors."""
 
@@ -102,10 +112,11 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 #: A Bloom filter takes at most this many bits (8 MB), whatever its input: the proven bound of what is broadcast.
 BLOOM_MAX_BITS = 1 << 26
+#: Bits of a slab: a key's probes lie in one slab, so that a filter is built slab by slab, in parallel.
+SLAB_BITS = 1 << 20
 
 
-def _probes(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    h = mixed(keys.astype(np.uint64))
+def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     for i in range(4):
         yield ((low + np.uint64(i) * high) & np.uint64(bits - 1)).astype(np.int64)
@@ -122,22 +133,37 @@ class Bloom:
         bits = 1 << 13
         while bits < min(16 * count, BLOOM_MAX_BITS):
             bits *= 2
+        slab = min(bits, SLAB_BITS)
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filled = np.zeros(bits, bool)
+            filled: dict[int, np.ndarray] = {}
             for batch in batches:
-                for p in _probes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
-                    filled[p] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(filled).tobytes()])], ["bits"])
-
-        parts = keys.coalesce(6).mapInArrow(build, "bits binary").collect()  # at most 6 rows of 8 MB
-        merged = np.zeros(bits // 8, np.uint8)
-        for row in parts:
-            merged |= np.frombuffer(row[0], np.uint8)
-        self.bits, self.shared = bits, spark.sparkContext.broadcast(merged.tobytes())
+                hashes = mixed(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+                at = batch.column(0).to_numpy(zero_copy_only=False)
+                for i in np.unique(at).tolist():
+                    own = filled.setdefault(i, np.zeros(slab, bool))
+                    for p in _probes(hashes[at == i], slab):
+                        own[p] = True
+            for i, own in filled.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([np.packbits(own).tobytes()])], ["slab", "bits"])
+
+        self.bits, self.slab = bits, slab
+        dealt = keys.mapInArrow(self._slabs, "slab long, key long").repartition(min(bits // slab, shuffle_partitions(spark)), "slab")
+        merged = np.zeros((bits // slab, slab // 8), np.uint8)
+        for row in dealt.mapInArrow(build, "slab long, bits binary").collect():  # a row for each slab, 8 MB in all
+            merged[row[0]] |= np.frombuffer(row[1], np.uint8)
+        self.shared = spark.sparkContext.broadcast(merged.tobytes())
+
+    def _slabs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            at = (mixed(keys.view(np.uint64)) >> np.uint64(40)) % np.uint64(self.bits // self.slab)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(keys)], ["slab", "key"])
 
     def test(self, keys: np.ndarray) -> np.ndarray:
-        table, found = np.frombuffer(self.shared.value, np.uint8), np.ones(len(keys), bool)
-        for p in _probes(keys, self.bits):
+        table, found, hashes = np.frombuffer(self.shared.value, np.uint8), np.ones(len(keys), bool), mixed(keys.astype(np.uint64))
+        first = ((hashes >> np.uint64(40)) % np.uint64(self.bits // self.slab)).astype(np.int64) * self.slab
+        for p in _probes(hashes, self.slab):
+            p = first + p
             found &= (table[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
         return found

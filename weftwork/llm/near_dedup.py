@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import Bloom, Scratch, batch_of, binary_array, chunks, hashes_of, mixed
+from weftwork.llm.common import Bloom, Scratch, batch_of, binary_array, chunks, hashes_of, mixed, unused
 from weftwork.llm.components import components
 
 BANDS, ROWS, BATCH = 32, 5, 32
@@ -334,7 +334,9 @@ def _block_pair(percent: int, miss: float):
 def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each near-duplicate group, with all columns.
 
-    Rows that share a kept doc_id all stay, as do rows without doc_id.
+    Rows that share a kept doc_id all stay, as do rows without doc_id and null or empty texts. Columns may have
+    any names.
     """
-    marks = near_duplicates(docs, shingle_words, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(marks, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    gone = unused(docs, "gone")
+    marks = near_duplicates(docs, shingle_words, percent).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(marks, docs["doc_id"].cast("long") == marks[gone], "left_anti")
