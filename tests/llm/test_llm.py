@@ -147,9 +147,9 @@ def test_pseudonyms(spark, docs, empty):
         assert p.text(clean) == (clean, 0)
     small = [p.feistel.number("t", x, 97, lambda v: v % 3 != 0) for x in range(97) if x % 3]
     assert sorted(small) == [x for x in range(97) if x % 3]
-    got = pseudonyms.pseudonymised(docs).collect()
+    got = pseudonyms.pseudonymised(docs, b"k").collect()
     assert sorted((x.doc_id or 0, x.text or "") for x in got) == sorted((i or 0, t or "") for i, t in ROWS)
-    assert pseudonyms.pseudonymised(empty).count() == 0 and pseudonyms.with_pseudonyms(docs).columns == docs.columns
+    assert pseudonyms.pseudonymised(empty, b"k").count() == 0 and pseudonyms.with_pseudonyms(docs, b"k").columns == docs.columns
 
 
 def test_pseudonyms_next_to_numbers():

@@ -1,32 +1,38 @@
 """Format-preserving pseudonyms for personal data: keyed Feistel permutations of validated values.
 
 Values are found by pattern and must be valid: card numbers by Luhn, account numbers by mod 97, addresses
-by their octets, dates by the calendar, social security numbers by their ranges. A value is permuted among
+by their octets, dates by the calendar, social security numbers by their ranges, phone numbers by their
+country and length, e-mail addresses by their parts. A value is permuted among
 the valid values of its own format, by a key: letters stay letters of the same case, digits digits, signs
-stay, check digits are made anew, dates stay dates. The permutation is a function of the kind and of the
-value without its signs, so equal values keep being equal in every document, however they are written, and
-whoever has the key can undo it (``back``).
+stay, check digits are made anew, dates stay dates. What is permuted is the value itself, the day, the national
+number or the digits, and the result is written as the value was: equal values keep being equal in every
+document, however they are written, and whoever has the key can undo it (``back``). So that a date can be
+written like any other, dates are permuted among those whose month and day have as many digits, days over 12
+among themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
-from datetime import date, timedelta
+from datetime import date
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import batch_of
 
-KEY = b"weftwork: replace this key"
 ROUNDS = 10
 # Alphabets that are permuted within themselves, the dates' range, and the months' names.
 DIGITS, LOWER, UPPER, HEX, BASE32 = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
+# Calling codes of one and two digits; all others have three. Words before what is a version, not an address.
+CALLING = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+VERSION = re.compile(r"(?:\bv|\bver|version|release|build|firmware|revision)[.:#]? ?$", re.IGNORECASE)
 
 #: Where a value can be; the patterns below run only around such places.
 NEAR = re.compile(r"[0-9@]+|AKIA|ghp_|password|passwd|token|secret|api_?key", re.IGNORECASE)
@@ -81,6 +87,8 @@ class Feistel:
         """Permutes the characters that are in their position's alphabet, each within it; others stay."""
         places = [i for i, (c, letters) in enumerate(zip(text, alphabets, strict=True)) if c in letters]
         halves = (places[: len(places) // 2], places[len(places) // 2 :])
+        if not places:
+            return text
         numbers, sizes = [], []
         for half in halves:
             number, size = 0, 1
@@ -88,8 +96,12 @@ class Feistel:
                 number, size = number * len(alphabets[i]) + alphabets[i].index(text[i]), size * len(alphabets[i])
             numbers.append(number)
             sizes.append(size)
+        if len(places) > 1:
+            numbers = self.pair(f"{kind}|{len(places)}", *numbers, tuple(sizes))
+        else:  # no second half that a round could depend on
+            numbers[1] = self.number(f"{kind}|1", numbers[1], sizes[1])
         out = list(text)
-        for half, number in zip(halves, self.pair(f"{kind}|{len(places)}", *numbers, tuple(sizes)), strict=True):
+        for half, number in zip(halves, numbers, strict=True):
             for i in reversed(half):
                 number, c = divmod(number, len(alphabets[i]))
                 out[i] = alphabets[i][c]
@@ -122,8 +134,34 @@ def _refill(shape: str, values: str) -> str:
     return "".join(next(rest) if c.isalnum() else c for c in shape)
 
 
+def calling_code(digits: str) -> int:
+    """How many of an international number's digits are its country's."""
+    return next((n for n in (1, 2) if digits[:n] in CALLING), 3)
+
+
+def _day_class(day: date) -> tuple[bool, int]:
+    """Dates of one class have months, and days, of equally many digits; and days over 12 are told apart."""
+    return day.month > 9, (day.day > 9) + (day.day > 12)
+
+
+@lru_cache(maxsize=1)
+def _days() -> dict[tuple[bool, int], list[date]]:
+    out: dict[tuple[bool, int], list[date]] = {}
+    for x in range(FIRST_DAY.toordinal(), LAST_DAY.toordinal() + 1):
+        out.setdefault(_day_class(day := date.fromordinal(x)), []).append(day)
+    return out
+
+
+def _is_email(local: str, domain: str) -> bool:
+    return ".." not in local and local[-1] != "." and all(part and part[0] != "-" != part[-1] for part in domain.split("."))
+
+
+def _recased(shape: str, text: str) -> str:
+    return "".join(c.upper() if s.isupper() else c for s, c in zip(shape, text, strict=True))
+
+
 class Pseudonymizer:
-    def __init__(self, key: bytes = KEY, back: bool = False):
+    def __init__(self, key: bytes, back: bool = False):
         self.feistel = Feistel(key, back)
         self.value = lru_cache(maxsize=50_000)(self._value)
 
@@ -131,9 +169,12 @@ class Pseudonymizer:
         """The pseudonym of a value that has its kind's pattern; None if it isn't a valid one."""
         f, plain = self.feistel, "".join(c for c in text if c.isalnum())
         if kind == "email":
-            local, domain = text.split("@")
+            local, domain = text.lower().split("@")
+            if not _is_email(local, domain):
+                return None
             host, _, top = domain.rpartition(".")
-            return f"{f.string('email', local, _kinds(local))}@{f.string('host', host, _kinds(host))}.{top}"
+            new = f"{f.string('email', local, _kinds(local))}@{f.string('host', host, _kinds(host))}.{top}"
+            return _recased(text, new)
         if kind == "aws":
             letters = BASE32 if all(c in BASE32 for c in text[4:]) else DIGITS + UPPER
             return text[:4] + f.string(f"aws{len(letters)}", text[4:], [letters] * 16)
@@ -171,12 +212,12 @@ class Pseudonymizer:
         digits = len(plain)
         if kind != "phone" or not 7 <= digits <= 15:
             return None
-        country = len(re.match(r"\+?(\d*)", text)[1]) if text[0] == "+" and not text[1:].isdigit() else 0
+        country = calling_code(plain) if text[0] == "+" else 0
         return _refill(text, plain[:country] + f.string("phone", plain[country:], [DIGITS] * (digits - country)))
 
     def _date(self, kind: str, text: str) -> str | None:
         parts = re.split(r"([-/.])", text)
-        fields = {0: parts[0], 1: parts[2], 2: parts[4]}
+        fields = parts[::2]
         orders = [(0, 1, 2)] if kind == "iso" else [(2, 1, 0), (2, 0, 1)]  # year, month, day; day first unless only month first is a date
         for order in orders:
             try:
@@ -185,43 +226,19 @@ class Pseudonymizer:
                 continue
             if not FIRST_DAY <= day <= LAST_DAY:
                 return None
-            wide = [len(fields[i]) for i in range(3)]
-            padded = all(w == 2 for i, w in enumerate(wide) if i != order[0])
-
-            def shape(x: int) -> str | None:
-                """The x-th day as it would be written here, None if that reads as another day."""
-                other = FIRST_DAY + timedelta(days=x)
-                values = dict(zip(order, (other.year, other.month, other.day), strict=True))
-                if order == (2, 0, 1) and other.day <= 12:
-                    return None
-                out = [f"{values[i]:0{4 if i == order[0] else 2 if padded else 1}d}" for i in range(3)]
-                if not padded and all(len(o) == 2 for i, o in enumerate(out) if i != order[0]):
-                    return None
-                return f"{out[0]}{parts[1]}{out[1]}{parts[3]}{out[2]}"
-
-            x = (day - FIRST_DAY).days
-            if shape(x) != text:  # mixed padding: keep the widths, permute the rest as digits would not stay a date
-                return None if shape(x) is None else self._mixed(text, order, x, parts)
-            return shape(self.feistel.number(f"date{padded}{order == (2, 0, 1)}", x, (LAST_DAY - FIRST_DAY).days + 1, lambda y: shape(y) is not None))
+            own = _day_class(day)
+            alike = _days()[own]
+            new = alike[self.feistel.number(f"date{own}", bisect_left(alike, day), len(alike))]
+            for i, value in zip(order, (new.year, new.month, new.day), strict=True):
+                parts[2 * i] = str(value).zfill(len(fields[i]))
+            return "".join(parts)
         return None
 
-    def _mixed(self, text: str, order: tuple[int, int, int], x: int, parts: list[str]) -> str:
-        """A date with one padded and one bare field, permuted among the dates that are written so."""
-        wide = [len(p) for p in (parts[0], parts[2], parts[4])]
-        bare = [i for i in range(3) if i != order[0] and wide[i] == 1]
-
-        def written(y: int) -> str | None:
-            other = FIRST_DAY + timedelta(days=y)
-            values = dict(zip(order, (other.year, other.month, other.day), strict=True))
-            if any(values[i] > 9 for i in bare) or order == (2, 0, 1) and other.day <= 12:
-                return None
-            return parts[1].join(f"{values[i]:0{wide[i]}d}" for i in range(3))
-
-        return written(self.feistel.number(f"date{wide}", x, (LAST_DAY - FIRST_DAY).days + 1, lambda y: written(y) is not None))
-
     def _at(self, text: str, start: int, stop: int, kinds: Iterable[str] = KINDS) -> tuple[int, str] | None:
         """Where the value that starts at a place ends, and its pseudonym: the first kind and end that make a valid one."""
         for kind in kinds:
+            if kind == "ip" and VERSION.search(text, max(0, start - 12), start):
+                continue
             if m := WHOLE[kind].match(text, start, stop):
                 for end in self._ends(kind, text, start, m.end(), stop):
                     if (new := self.value(kind, text[start:end])) is not None:
@@ -277,11 +294,12 @@ class Pseudonymizer:
         return "".join([*out, text[at:]]) if n else text, n
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """doc_id, text, n_values for each row of ``docs`` (doc_id, text): the text with pseudonyms and their number.
 
     With ``back`` the pseudonyms are turned to the values again. A null text stays null with 0 values; texts
-    without values are unchanged. Equal values have equal pseudonyms in all rows. Other columns are ignored.
+    without values, empty ones too, are unchanged. Equal values have equal pseudonyms in all rows, repeated
+    ones too. Other columns are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_values", pa.int64())])
 
@@ -298,12 +316,19 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, n_values long")
 
 
-def with_pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``docs`` with pseudonyms in its text column; other columns as they are."""
+def with_pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
+    """``docs`` with pseudonyms in its text column; other columns as they are, null and empty texts too."""
+    ready: list[Pseudonymizer] = []
 
     @F.arrow_udf("string")
     def replaced(texts: pa.Array) -> pa.Array:
-        p = Pseudonymizer(key)
-        return pa.array([p.text(t.as_py())[0] for t in texts], pa.string())
+        if not ready:
+            ready.append(Pseudonymizer(key))
+        return pa.array([ready[0].text(t.as_py())[0] for t in texts], pa.string())
 
     return docs.withColumn("text", replaced(F.col("text").cast("string")))
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key of this session's runs: spark.weftwork.pseudonymKey; a published one, which hides nothing, where that is unset."""
+    return spark.conf.get("spark.weftwork.pseudonymKey", "a published key for examples and tests").encode()

@@ -35,7 +35,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(_table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymised(_table(spark, sf_dir, "documents"), pseudonyms.session_key(spark))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
