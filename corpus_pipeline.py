@@ -27,7 +27,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonyms.with_pseudonyms(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return pseudonyms.with_pseudonyms(docs, pseudonyms.session_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
