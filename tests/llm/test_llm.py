@@ -314,22 +314,31 @@ def test_pseudo_likelihood(spark, docs, empty):
     model = pseudo_likelihood.train(corpus)
     mean = lambda df: pseudo_likelihood.scored(df, model).agg(F.avg("per_word")).first()[0]
     assert mean(corpus) > mean(spark.createDataFrame(mixed_up, "doc_id long, text string")) + 0.5
-    sides, classes = np.random.default_rng(0).integers(1, 5, (64, 4)), np.random.default_rng(1).integers(1, 5, 64)
-    net = model.network
-    logits = np.tanh(net[0][sides].reshape(64, -1) @ net[1] + net[2]) @ net[3] + net[4]
-    assert pseudo_likelihood.log_probabilities(net, sides, classes) == pytest.approx(logits[np.arange(64), classes] - np.log(np.exp(logits).sum(axis=1)), abs=1e-4)
+    sides = np.random.default_rng(0).integers(0, 9, (3, 4))
+    tree, net, every = model.vocabulary.tree, model.network, np.arange(1, pseudo_likelihood.CLASSES)
+    for side in sides:  # all classes together, and a few by hand
+        got = pseudo_likelihood.log_probabilities(net, tree, np.tile(side, (len(every), 1)), every)
+        assert np.exp(got).sum() == pytest.approx(1, abs=1e-4)
+        hidden = np.tanh(net.word[side].reshape(-1) @ net.inner + net.bias)
+        for c in (1, 2, 8, 9_000, pseudo_likelihood.CLASSES - 1):
+            way = slice(tree.offsets[c], tree.offsets[c + 1])
+            margin = (net.node[tree.nodes[way]] @ hidden + net.odds[tree.nodes[way]]) * tree.signs[way]
+            assert got[c - 1] == pytest.approx(-np.log1p(np.exp(-margin)).sum(), abs=1e-3)
     got = pseudo_likelihood.scored(docs, model).collect()
     assert len(got) == len(ROWS) and all((x.per_word is None) == (x.n_words == 0) for x in got)
     assert pseudo_likelihood.scored(empty, pseudo_likelihood.train(empty)).count() == 0
 
 
 def test_pseudo_likelihood_counts_every_word(spark):
-    said = [f"w{i}xx" for i in range(20_000)]
+    said = [f"w{i}xx" for i in range(pseudo_likelihood.HEAD + 8_000)]
     corpus = spark.createDataFrame([(k, " ".join(said)) for k in range(20)], "doc_id long, text string")
     model = pseudo_likelihood.train(corpus)
     assert {r.n for r in model.words.collect()} == {20} and model.words.count() == len(said)
-    few = model._replace(vocabulary=model.vocabulary._replace(frequent=np.zeros(0, np.uint64), frequent_log=np.zeros(0)))
-    texts = [(0, said[7_000]), (1, "never-seenxx"), *((2 + i, f"junk{i}xx") for i in range(300)), *((1000 + i, said[i]) for i in range(300))]
+    v = model.vocabulary
+    some = v.known_class > 0
+    few = model._replace(vocabulary=v._replace(known=v.known[some], known_class=v.known_class[some], known_log=v.known_log[some]))
+    rare = [said[int(i)] for i in np.flatnonzero(~np.isin(pseudo_likelihood.word_codes(said)[1], model.vocabulary.known[model.vocabulary.known_class > 0]))]
+    texts = [(0, rare[7_000]), (1, "never-seenxx"), *((2 + i, f"junk{i}xx") for i in range(300)), *((1000 + i, rare[i]) for i in range(300))]
     probes = spark.createDataFrame(texts, "doc_id long, text string")
     got, joined = ({r.doc_id: r.log_likelihood for r in pseudo_likelihood.scored(probes, m).collect()} for m in (model, few))
     assert got == pytest.approx(joined, abs=1e-6)
@@ -337,6 +346,29 @@ def test_pseudo_likelihood_counts_every_word(spark):
     assert got[0] > got[1] + 3 and np.ptp(junk) < 1e-6 and (real > junk.max() + 3).mean() > 0.9
 
 
+def test_pseudo_likelihood_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_WORDS", 4_000)
+    r = random.Random(9)
+    follows = {w: [f"{w[0]}{(int(w[1:]) * 7 + k) % 50}" for k in range(3)] for w in (f"{c}{i}" for c in "ab" for i in range(50))}
+    texts = []
+    for k in range(300):
+        w = [r.choice(sorted(follows))]
+        while len(w) < 100:
+            w.append(r.choice(follows[w[-1]]))
+        texts.append((k, " ".join(w)))
+    docs = spark.createDataFrame([*texts, (300, None), (301, ""), texts[5]], "doc_id long, text string")
+    held = spark.createDataFrame(texts[:30], "doc_id long, text string")
+    taught = docs.where("doc_id >= 30")
+    found = []
+    for parts in (1, 8):
+        model = pseudo_likelihood.train(taught.repartition(parts, "text"))
+        found.append({x.doc_id: x.log_likelihood for x in pseudo_likelihood.scored(held, model).collect()})
+    assert found[0] == pytest.approx(found[1], abs=1e-6)
+    start = model._replace(network=pseudo_likelihood.initial(pseudo_likelihood.vocabulary(model.words)[1]))
+    plain = {x.doc_id: x.log_likelihood for x in pseudo_likelihood.scored(held, start).collect()}
+    assert sum(found[0].values()) > sum(plain.values()) + 30 * 100 * 0.2  # more than words' frequencies tell
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
