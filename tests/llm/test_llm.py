@@ -57,6 +57,45 @@ def test_substring_dedup(spark, docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def brute_repeats(rows_):
+    seen, out = set(), {}
+    for i, x in rows_:
+        w = WORD.findall(x or "")
+        stay = [True] * len(w)
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen:
+                stay[k : k + 20] = [False] * 20
+            seen.add(tuple(w[k : k + 20]))
+        out[i] = " ".join(x for x, y in zip(w, stay, strict=True) if y)
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_substring_dedup_of_a_frequent_prefix(spark, monkeypatch, most):
+    """One prefix in half of all places, found as often as to be lengthened; with filters and with joined lists."""
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 20)
+    monkeypatch.setattr(substring_dedup, "MOST_PREFIXES", most)
+    monkeypatch.setattr(substring_dedup, "SALTS", 4)
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for k in range(120):
+        own = [f"o{r.randint(0, 9)}" for _ in range(r.randint(0, 40))]
+        texts.append((k, " ".join([*own, *(passage if k % 2 else passage[: r.randint(6, 25)]), *(own[::-1] if k % 3 else own), *"a b c d e f".split() * (k % 9)])))
+    got = {x.doc_id: x.kept_text for x in substring_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_repeats(texts)
+
+
+def test_sorted_suffixes():
+    r = random.Random(2)
+    rows_ = [[r.choice((b"a", b"ab", b"b")) for _ in range(r.randint(1, 60))] for _ in range(30)]
+    flat, sizes = [w for row in rows_ for w in row], np.array([len(row) for row in rows_])
+    got = substring_dedup.sorted_suffixes(flat, np.repeat(np.cumsum(sizes), sizes))
+    strings = [tuple(row[i : i + 20]) for row in rows_ for i in range(len(row))]
+    assert (np.argsort(got, kind="stable") == np.array(sorted(range(len(strings)), key=lambda i: strings[i]))).all()
+    assert len(set(zip(got.tolist(), strings, strict=True))) == len(set(strings)) == len(set(got.tolist()))
+
+
 def brute_components(pairs_of, size):
     sets = {}
     for i, t in pairs_of:
