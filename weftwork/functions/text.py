@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value several times and computes it once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def path_parts(path: Column) -> Column:
     return F.split(F.regexp_replace(path, r"\\", "/"), "/")
 
@@ -73,3 +79,60 @@ def arithmetic(expression: str, names: set[str]) -> Column:
         return f"try_element_at(fn, {int(m[1]) + (int(m[1]) >= 0)})" if m else f"CAST({token} AS DOUBLE)" if token[0].isdigit() else token
 
     return F.expr(" ".join(map(place, tokens))).cast("double")
+
+
+def numbers_and_text(text: Column) -> Column:
+    """Tokens as (number, text), trimmed; separators alone are left out."""
+    parts = F.filter(F.transform(number_or_text(text), lambda t: F.trim(t)), lambda t: ~t.isin("", ",", "|"))
+    return F.transform(parts, lambda t: F.struct(t.try_cast("double").alias("number"), F.when(t.try_cast("double").isNull(), t).alias("text")))
+
+
+def values_with_units(text: Column) -> Column:
+    """(value, unit) of a text such as "1 mm, 2 µm"; a number before a number has the unit that ends the text."""
+
+    def paired(parts: Column) -> Column:
+        last = F.coalesce(F.get(parts, F.size(parts) - 1)["text"], F.lit(""))
+        unit = lambda i: F.when(i + 1 >= F.size(parts), F.lit("")).otherwise(F.coalesce(F.get(parts, i + 1)["text"], last))
+        return F.filter(F.transform(parts, lambda p, i: F.struct(p["number"].alias("value"), unit(i).alias("unit"))), lambda p: p["value"].isNotNull())
+
+    return let(numbers_and_text(text), paired)
+
+
+def described(text: Column) -> Column:
+    """A map of a description: of "k=v" or "k:v" items between line ends, tabs or bars, or of a JSON object; values as text."""
+    items = F.filter(F.split(text, r"[\r\n\t|]"), lambda x: x.rlike("[=:]"))
+    halves = F.transform(items, lambda x: F.when(F.contains(x, F.lit(":")), F.split(x, ":")).otherwise(F.split(x, "=")))
+    entries = F.transform(halves, lambda h: F.struct(F.trim(h[0]).alias("key"), F.trim(h[1]).alias("value")))
+    last = let(entries, lambda es: F.map_from_entries(F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda o: o["key"] == e["key"]))))
+    return F.when(F.startswith(F.trim(text), F.lit("{")), F.from_json(text, "map<string, string>")).otherwise(last)
+
+
+def typed(value: Column) -> Column:
+    """A description's value as (integer, number, flag, text): the first that it reads as is set."""
+    integer, number, flag = value.try_cast("long"), value.try_cast("double"), F.when(F.lower(value).isin("true", "false"), F.lower(value) == "true")
+    whole = F.when(value.rlike(r"^[+-]?\d+$"), integer)
+    return F.struct(whole.alias("integer"), F.when(whole.isNull(), number).alias("number"), flag.alias("flag"), F.when(number.isNull() & flag.isNull(), value).alias("text"))
+
+
+def rounded_if_near(x: Column, digits: int) -> Column:
+    """The number to some significant digits where that changes it by less than its last digit's part, else the number."""
+    near = significant(x, digits)
+    change = F.when(x != 0, F.abs(1 - near / x)).otherwise(F.abs(near - x))
+    return F.when(change < 10.0**-digits, near).otherwise(x)
+
+
+def labelled_entries(text: Column) -> Column:
+    """(key, value, label) of the parts with digits, in order: the label before the digits, or its place; the last of a key counts."""
+    label = lambda p: F.regexp_extract(p, r"^(\D*)", 1)
+    entries = F.transform(numeric_parts(text), lambda p, i: F.struct(F.when(label(p) == "", i.cast("string")).otherwise(label(p)).alias("key"), F.regexp_extract(p, r"(\d+)", 1).alias("value"), label(p).alias("label")))
+
+    def last(es: Column) -> Column:
+        first = F.filter(es, lambda e, i: ~F.exists(F.slice(es, 1, i), lambda o: o["key"] == e["key"]))
+        return F.transform(first, lambda e: F.element_at(F.filter(es, lambda o: o["key"] == e["key"]), -1))
+
+    return let(entries, last)
+
+
+def slice_label(number: Column) -> Column:
+    """The label of a slice by its number, as mappings are keyed."""
+    return F.concat(F.lit("slice"), F.lpad(number.cast("string"), 5, "0"))

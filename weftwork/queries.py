@@ -5,12 +5,11 @@ Doubles are rounded to six decimals, since the order of sums differs between eng
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weftwork.catalog import ORACLE_SQL, QUERIES, query, rounded
 from weftwork.functions import affine, text, units
 from weftwork.operators import graph, kernels, matching, pixels, tiles
 from weftwork.plans import registration
@@ -18,9 +17,7 @@ from weftwork.sources import chunks, files
 from weftwork.sources.fixtures import SIDE, table
 from weftwork.sources.fixtures import pixels as pixel_rows
 from weftwork.sources.fixtures import tiles as tile_rows
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from weftwork import queries_geometry, queries_values  # noqa: F401, I001  register their queries
 
 TILES = "tiles AS (SELECT s_suppkey AS tile_id, (s_suppkey % 10) * 24.0::DOUBLE + s_acctbal / 10000.0::DOUBLE AS x, floor(s_suppkey / 10) * 24.0::DOUBLE AS y, s_nationkey::DOUBLE AS z, 25.6::DOUBLE AS s FROM supplier)"
 PIXELS = "pixels AS (SELECT vec_id AS tile_id, label AS z, ((p - 1) // 8)::INTEGER AS y, ((p - 1) % 8)::INTEGER AS x, embedding[p]::DOUBLE AS value FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS p))"
@@ -30,20 +27,6 @@ STATS = "stats AS (SELECT tile_id, avg(value) AS m, stddev_pop(value) AS s FROM
 PAIR = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2{z})"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 6) + 0.0 for c in names})
-
-
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's tile with the next one's."""
     ids = table(spark, sf_dir, "embeddings").select("vec_id")
