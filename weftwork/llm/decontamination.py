@@ -15,15 +15,17 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import Scratch, batch_of
 
 #: Edits allowed for each hundred bytes of an item; items shorter than ``SHORTEST`` are searched for as whole words.
 EDITS_PERCENT, SHORTEST, BLOCK_CHARS = 8, 25, 1_000_000
-#: Blocks that one pass over the documents takes; more are further passes over a written table.
-BLOCKS = 64
+#: Blocks (16 MB in all) that one pass over the documents takes; more are further passes over a written table.
+BLOCKS = 16
+#: Characters of texts that are taken together where there are several blocks, so that automata are made once for each so many.
+BUFFER_CHARS = 32_000_000
 _SIGNS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -136,24 +138,58 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def _buffers(batches: Iterator[pa.RecordBatch], text: int, chars: int) -> Iterator[pa.Table]:
+    """Batches, several together up to a number of characters (or one)."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size >= chars:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Blocks:
+    """Blocks of items whose automata are made one at a time; a single one is kept."""
+
+    def __init__(self, blocks: list, percent: int):
+        self.blocks, self.percent, self.only = blocks, percent, None
+
+    def __iter__(self) -> Iterator[Items]:
+        for block in self.blocks:
+            items = self.only or Items(block.value, self.percent)
+            if len(self.blocks) == 1:
+                self.only = items
+            yield items
+
+    @property
+    def chars(self) -> int:
+        return BUFFER_CHARS if len(self.blocks) > 1 else 0
+
+
 def _pass(rows: DataFrame, blocks: list[list[tuple[int, str]]], percent: int) -> DataFrame:
     """``rows`` (doc_id, text, held) with the matches of some blocks added to held."""
-    shared = [rows.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    shared = [rows.sparkSession.sparkContext.broadcast(b) for b in blocks]  # BLOCKS * BLOCK_CHARS at most
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("held", pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("copied", pa.bool_())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = Items(shared[0].value, percent) if len(shared) == 1 else None
-        for batch in batches:
-            held: list[dict[int, tuple[int, bool]]] = [{h["item"]: (h["distance"], h["copied"]) for h in old or ()} for old in batch.column(2).to_pylist()]
-            for block in shared:  # one automaton at a time
-                items = only or Items(block.value, percent)
-                for own, text in zip(held, batch.column(1), strict=True):
+        every = _Blocks(shared, percent)
+        for table in _buffers(batches, 1, every.chars):
+            held: list[dict[int, tuple[int, bool]]] = [{h["item"]: (h["distance"], h["copied"]) for h in old or ()} for old in table.column(2).to_pylist()]
+            for items in every:
+                for own, text in zip(held, table.column(1), strict=True):
                     if text.is_valid:
                         plain = normalised(text.as_py())
                         for item, d in items.matches(plain).items():
                             before, copied = own.get(item, (d, False))
                             own[item] = min(d, before), copied or items.copied(item, plain)
-            yield batch_of(schema, batch.column(0), batch.column(1), [[{"item": i, "distance": d, "copied": c} for i, (d, c) in sorted(own.items())] for own in held])
+            found = [[{"item": i, "distance": d, "copied": c} for i, (d, c) in sorted(own.items())] for own in held]
+            at = 0
+            for batch in table.to_batches():
+                yield batch_of(schema, batch.column(0), batch.column(1), found[at : at + batch.num_rows])
+                at += batch.num_rows
 
     return rows.mapInArrow(run, "doc_id long, text string, held array<struct<item: long, distance: int, copied: boolean>>")
 
@@ -179,29 +215,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PE
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns; one pass for each ``BLOCKS`` blocks."""
+    """The rows of ``docs`` that are not contaminated, with all their columns; one pass for each ``BLOCKS`` blocks.
+
+    Null and empty texts stay. The text column must hold strings.
+    """
     blocks = []
     for block in _blocks(benchmark):
         if len(blocks) == BLOCKS:
-            docs, blocks = docs.where(~_held(docs, blocks, percent)), []
+            docs, blocks = _clean(docs, blocks, percent), []
         blocks.append(block)
-    return docs.where(~_held(docs, blocks, percent)) if blocks else docs
-
-
-def _held(docs: DataFrame, blocks: list[list[tuple[int, str]]], percent: int) -> Column:
-    shared, ready = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks], {}
-
-    @F.arrow_udf("boolean")
-    def held(texts: pa.Array) -> pa.Array:
-        found = [False] * len(texts)
-        for n, block in enumerate(shared):
-            if n not in ready:
-                ready.clear()  # one automaton at a time
-                ready[n] = Items(block.value, percent)
-            for i, t in enumerate(texts):
-                if not found[i] and t.is_valid:
-                    plain = normalised(t.as_py())
-                    found[i] = any(ready[n].copied(item, plain) for item in ready[n].matches(plain))
-        return pa.array(found, pa.bool_())
-
-    return held(F.col("text").cast("string"))
+    return _clean(docs, blocks, percent) if blocks else docs
+
+
+def _clean(docs: DataFrame, blocks: list[list[tuple[int, str]]], percent: int) -> DataFrame:
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]  # BLOCKS * BLOCK_CHARS at most
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = _Blocks(shared, percent)
+        for table in _buffers(batches, at, every.chars):
+            clean = [True] * table.num_rows
+            for items in every:
+                for i, t in enumerate(table.column(at)):
+                    if clean[i] and t.is_valid:
+                        plain = normalised(t.as_py())
+                        clean[i] = not any(items.copied(item, plain) for item in items.matches(plain))
+            yield from table.filter(pa.array(clean, pa.bool_())).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
