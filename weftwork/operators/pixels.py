@@ -72,14 +72,18 @@ def _both(pixels: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("i", "j").join(a, "i").join(b, ["j", "y", "x"])
 
 
+def _correlation() -> Column:
+    return F.covar_pop("a", "b") / F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0))
+
+
 def similarity(pixels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(i, j, ncc, mse): correlation and 1 / mean squared difference."""
+    """(i, j, ncc, mse): correlation (null for a constant tile) and 1 / mean squared difference."""
     square = F.avg(F.pow(F.col("a") - F.col("b"), 2))
-    return _both(pixels, pairs).groupBy("i", "j").agg(F.corr("a", "b").alias("ncc"), (F.lit(1.0) / F.nullif(square, F.lit(0.0))).alias("mse"))
+    return _both(pixels, pairs).groupBy("i", "j").agg(_correlation().alias("ncc"), (F.lit(1.0) / F.nullif(square, F.lit(0.0))).alias("mse"))
 
 
 def ncc2(pixels: DataFrame, pairs: DataFrame) -> DataFrame:
-    return _both(pixels, pairs).groupBy("i", "j").agg((F.covar_pop("a", "b") / (F.stddev_pop("a") * F.stddev_pop("b"))).alias("ncc"))
+    return _both(pixels, pairs).groupBy("i", "j").agg(_correlation().alias("ncc"))
 
 
 def mutual_information(pixels: DataFrame, pairs: DataFrame, bins: int = 8, low: float = -0.6, high: float = 0.6) -> DataFrame:

@@ -111,12 +111,12 @@ def positions_unrotated(spark, sf_dir):
 
 @query(f"""WITH p AS (SELECT l_suppkey AS set, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n, l_quantity * 2 AS x, l_linenumber * 10.0::DOUBLE AS y FROM lineitem),
 w AS (SELECT *, least(greatest((1 - greatest(abs(x / 50 - 1), abs(y / 40 - 1))) / 0.1, 0), 1) * (1 - i / n::DOUBLE / 2) AS weight FROM p)
-SELECT set, i::BIGINT AS idx, round(weight, 6) AS weight FROM w WHERE weight > 0.5""")
+SELECT set, i::BIGINT AS idx, floor(weight * 1e6 + 0.5) / 1e6 AS weight FROM w WHERE weight > 0.5""")
 def points_off_edges(spark, sf_dir):
     """Points far enough from the border of a field of 100 by 80, weighted by their rank."""
     l = table(spark, sf_dir, "lineitem")
     p = l.select(F.col("l_suppkey").alias("set"), (F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1).cast("long").alias("idx"), (F.col("l_quantity") * 2).alias("x"), (F.col("l_linenumber") * 10.0).alias("y"))
-    return rounded(geometry.off_edges(p, 100.0, 80.0).select("set", "idx", "weight"), "weight")
+    return geometry.off_edges(p, 100.0, 80.0).select("set", "idx", (F.floor(F.col("weight") * 1e6 + 0.5) / 1e6).alias("weight"))
 
 
 @query("SELECT y, x, round(least(greatest((1 - greatest(abs(x / 8.0 - 1), abs(y / 5.0 - 1))) * 10, 0), 1)::DOUBLE, 6) AS weight FROM (SELECT unnest(generate_series(0, 9)) AS y), (SELECT unnest(generate_series(0, 15)) AS x)")
