@@ -58,6 +58,43 @@ def phase_correlation(fixed: np.ndarray, moving: np.ndarray) -> tuple[float, flo
     return float(shift[0]), float(shift[1]), quality
 
 
+def _parted(fixed: np.ndarray, moving: np.ndarray, dy: int, dx: int) -> tuple[np.ndarray, np.ndarray]:
+    """What both images show where moving is shifted by whole pixels."""
+    h, w = fixed.shape
+    return fixed[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)], moving[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)]
+
+
+def shift_by_peaks(fixed: np.ndarray, moving: np.ndarray, peaks: int = 5, subpixel: bool = True, least: float = 0.2) -> tuple[float, float, float]:
+    """(dy, dx, quality): of the highest peaks of the phase correlation, each taken forward and around, the shift under which both correlate best.
+
+    Only shifts that leave at least a part of the images in common count. Quality is that correlation, not under 0.
+    """
+    f, g = np.fft.fft2(fixed - fixed.mean()), np.fft.fft2(moving - moving.mean())
+    cross = f * np.conj(g)
+    peak = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real
+    (h, w), best = fixed.shape, (-np.inf, 0, 0)
+    for at in np.argsort(-peak, axis=None, kind="stable")[:peaks]:
+        y, x = np.unravel_index(at, peak.shape)
+        for dy in {int(y), int(y) - h}:
+            for dx in {int(x), int(x) - w}:
+                a, b = _parted(fixed, moving, dy, dx)
+                if a.size < max(4, least * fixed.size):
+                    continue
+                spread = a.std() * b.std()
+                quality = float(((a - a.mean()) * (b - b.mean())).mean() / spread) if spread > 0 else 0.0
+                best = max(best, (quality, -abs(dy) - abs(dx), (dy, dx)), key=lambda t: t[:2]) if best[0] > -np.inf else (quality, -abs(dy) - abs(dx), (dy, dx))
+    if best[0] <= 0:
+        return 0.0, 0.0, 0.0
+    quality, _, (dy, dx) = best
+    out = []
+    for axis, (d, n) in enumerate(((dy, h), (dx, w))):
+        line = [peak[(dy + (k if axis == 0 else 0)) % h, (dx + (k if axis == 1 else 0)) % w] for k in (-1, 0, 1)]
+        curve = line[0] - 2 * line[1] + line[2]
+        part = 0.5 * (line[0] - line[2]) / curve if subpixel and curve < -1e-12 and n > 2 and max(line[0], line[2]) > 0.25 * line[1] else 0.0
+        out.append(d + (part if abs(part) <= 0.5 else 0.0))
+    return float(out[0]), float(out[1]), quality
+
+
 def otsu(values: np.ndarray, bins: int = 256) -> float:
     """The threshold with the largest variance between the classes on its sides."""
     counts, edges = np.histogram(values, bins)
@@ -195,6 +232,17 @@ def by_phase(fixed: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, float]:
     return np.array([[1, 0, dx], [0, 1, dy], [0, 0, 1.0]]), quality
 
 
+def by_peaks(fixed: np.ndarray, moving: np.ndarray, subpixel: bool = True) -> tuple[np.ndarray, float]:
+    dy, dx, quality = shift_by_peaks(fixed, moving, subpixel=subpixel)
+    return np.array([[1, 0, dx], [0, 1, dy], [0, 0, 1.0]]), quality
+
+
+def fixed_transform(fixed: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, float]:
+    """A turn by 38 degrees and a shift, whatever the images: stands in for a method in tests of what uses one."""
+    c, s = np.cos(np.radians(38)), np.sin(np.radians(38))
+    return np.array([[c, -s, 300], [s, c, 25], [0, 0, 1.0]]), 1.0
+
+
 def by_features(fixed: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, float]:
     """Corners, best patches with a ratio test of 0.92, then RANSAC; quality is (inliers / keypoints) ^ (1/3)."""
     (p, d), (q, e) = corners(fixed), corners(moving)
@@ -221,11 +269,13 @@ def by_points(fixed: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, float]
 
 
 #: Registration methods by the names that configurations use.
-KERNELS: dict[str, Kernel] = {"phase": by_phase, "features": by_features, "cpd": by_points}
+KERNELS: dict[str, Kernel] = {"phase": by_phase, "features": by_features, "cpd": by_points, "peaks": by_peaks, "dummy": fixed_transform}
 
 
 def kernel(name: str) -> Kernel:
-    name = name.lower()
+    name = (name or "").lower()
+    if name in KERNELS:
+        return KERNELS[name]
     if "cpd" in name:
         return by_points
     return by_features if any(x in name for x in ("feature", "orb", "sift")) else by_phase
