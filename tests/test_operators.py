@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from weftwork.functions import affine, text, units
 from weftwork.operators import graph, kernels, matching, pixels, tiles
-from weftwork.plans.registration import Config, Job, run
 from weftwork.sources import chunks, ngff
 
 
@@ -101,24 +100,6 @@ def test_points_and_boxes():
     assert kernels.frc(image, image)[:5] == pytest.approx(1)
 
 
-def test_staged_job(spark, tmp_path):
-    r = np.random.default_rng(2)
-    scene = kernels.gaussian(r.random((40, 40)), 1.0)
-    cut = {0: (0, 0), 1: (2, 3), 2: (4, 1)}
-    px = [(k, 0, y, x, float(scene[y + dy, x + dx])) for k, (dy, dx) in cut.items() for y in range(32) for x in range(32)]
-    pixel = spark.createDataFrame(px, "tile_id long, z int, y int, x int, value double")
-    tile = spark.createDataFrame([(k, float(k), 0.0, 0.0, 25.6, 25.6) for k in cut], "tile_id long, x double, y double, z double, sx double, sy double")
-    job = Job(spark, tile, pixel, Config.of({"registration": {"method": "phase"}, "fusion": "mean"}), str(tmp_path))
-    got = {s.tile_id: (round(s.dy), round(s.dx)) for s in job.register_global().collect()}
-    assert got == cut
-    assert graph.residuals(job.register_pairs(), job.register_global()).agg(F.max("residual")).first()[0] < 0.5
-    assert job.fuse().where("y = 5 AND x = 5").first().value == pytest.approx(scene[5, 5])
-    assert (tmp_path / job.config.digest() / "fused").exists()
-    assert run({"good": job, "bad": Job(spark, tile, pixel.drop("value"), Config(fusion="sum"))})["good"] == "done"
-    with pytest.raises(ValueError):
-        Config.of({"unheard": 1})
-
-
 def test_single_tile_fuses_to_itself(spark):
     px = spark.createDataFrame([(1, 0, y, x, float(y * x)) for y in range(3) for x in range(3)], "tile_id long, z int, y int, x int, value double")
     for how in ("mean", "sum", "max", "exclusive"):

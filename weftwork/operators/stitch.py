@@ -214,6 +214,11 @@ def views(image_rows: DataFrame, transforms: DataFrame, grid: tuple, chunk: int
 
     The tile's transform is undone for every place of the grid; values are bilinear. ``data`` are doubles of a part of the chunk.
     """
+    return placed(image_rows.join(transforms, "tile_id"), grid, chunk)
+
+
+def placed(rows: DataFrame, grid: tuple, chunk: int = 256) -> DataFrame:
+    """The views of image rows that have their own ``matrix``; a tile may occur several times, with a z of its own."""
     x0, y0, sx, sy, nx, ny = grid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +241,7 @@ def views(image_rows: DataFrame, transforms: DataFrame, grid: tuple, chunk: int
                         data = sampled(image, (v - t["y"]) / t["py"], (u - t["x"]) / t["px"])
                         yield pa.RecordBatch.from_pylist([{"z": t["z"], "cy": cy, "cx": cx, "tile_id": t["tile_id"], "n_valid": n_valid, "top": top - cy * chunk, "left": left - cx * chunk, "height": bottom - top, "width": right - left, "data": data.tobytes()}], schema=_VIEW)
 
-    rows = image_rows.join(transforms, "tile_id").select("tile_id", "x", "y", "z", "px", "py", "image", "matrix")
-    return rows.mapInArrow(run, _VIEW_DDL)
+    return rows.select("tile_id", "x", "y", "z", "px", "py", "image", "matrix").mapInArrow(run, _VIEW_DDL)
 
 
 Fusion = Callable[[np.ndarray, np.ndarray], np.ndarray]

@@ -12,16 +12,22 @@ def _sides(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(tiles.select(*(F.col(c).alias(f"{s}_{c}") for c in cols)) for s in "ab")
 
 
-def _neighbours(tiles: DataFrame, limit: Column | float) -> DataFrame:
+def _neighbours(tiles: DataFrame, limit: Column | float, z: str = "far") -> DataFrame:
     """Pairs i < j from the same or a neighbouring grid cell: an equi-join on cells instead of all pairs."""
     size = tiles.agg(F.max(limit if isinstance(limit, Column) else F.lit(limit))).first()[0] or 1.0
-    return _around(tiles, tiles, size).where("a_tile_id < b_tile_id")
+    return _around(tiles, tiles, size, z).where("a_tile_id < b_tile_id")
 
 
-def _around(some: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
-    """Each of some tiles with all others in its grid cell and those next to it."""
-    own, other = (_sides(t.withColumn("cell", F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))))[k] for k, t in enumerate((some, tiles)))
-    near = F.explode(F.array(*(F.struct((F.col("a_cell.cx") + dx).alias("cx"), (F.col("a_cell.cy") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
+def _around(some: DataFrame, tiles: DataFrame, size: float, z: str = "far") -> DataFrame:
+    """Each of some tiles with all others in its grid cell and those next to it.
+
+    Cells have a third part: z in steps of the size where distance counts z ("near"), its rank of ``zr`` ("rank"), z itself
+    where only one plane counts ("same"), or nothing ("far").
+    """
+    third = {"far": F.lit(0.0), "near": F.floor(F.col("z") / size).cast("double"), "rank": F.col("zr").cast("double") if "zr" in tiles.columns else F.lit(0.0), "same": F.col("z")}[z]
+    own, other = (_sides(t.withColumn("cell", F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"), third.alias("cz"))))[k] for k, t in enumerate((some, tiles)))
+    steps = (-1.0, 0.0, 1.0) if z in ("near", "rank") else (0.0,)
+    near = F.explode(F.array(*(F.struct((F.col("a_cell.cx") + dx).alias("cx"), (F.col("a_cell.cy") + dy).alias("cy"), (F.col("a_cell.cz") + dz).alias("cz")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in steps)))
     return own.withColumn("cell", near).join(other, F.col("cell") == F.col("b_cell")).where("a_tile_id != b_tile_id").drop("cell", "a_cell", "b_cell")
 
 
@@ -46,7 +52,7 @@ def pairs(tiles: DataFrame, overlap: bool = False, mixed_z: bool = False) -> Dat
     if mixed_z:
         ranks = tiles.select("z").distinct().withColumn("zr", F.dense_rank().over(W.orderBy("z")))  # one row for each z
         tiles = tiles.join(ranks, "z")
-    found = _neighbours(tiles, F.greatest("sx", "sy")).withColumn("distance", _distance(mixed_z))
+    found = _neighbours(tiles, F.greatest("sx", "sy"), "rank" if mixed_z else "near").withColumn("distance", _distance(mixed_z))
     limit = F.greatest(*_LARGEST) * (0.5 if overlap else 1.0)
     if mixed_z:
         found = found.where(F.abs(F.col("a_zr") - F.col("b_zr")) <= 1)
@@ -54,9 +60,16 @@ def pairs(tiles: DataFrame, overlap: bool = False, mixed_z: bool = False) -> Dat
     return found.where(F.col("distance") < limit).select(F.col("a_tile_id").alias("i"), F.col("b_tile_id").alias("j"), "distance")
 
 
+def pairs_between(new: DataFrame, known: DataFrame) -> DataFrame:
+    """(i, j, distance) of new tiles with known ones, the smaller id first; pairs among the known ones are not looked at."""
+    size = new.select("sx", "sy").union(known.select("sx", "sy")).agg(F.max(F.greatest("sx", "sy"))).first()[0] or 1.0
+    found = _around(new, known, size, "near").withColumn("distance", _distance(False)).where(F.col("distance") < F.greatest(*_LARGEST))
+    return found.select(F.least("a_tile_id", "b_tile_id").alias("i"), F.greatest("a_tile_id", "b_tile_id").alias("j"), "distance").distinct()
+
+
 def pair_angles(tiles: DataFrame) -> DataFrame:
-    """(i, j, angle) of neighbours: the direction between centers, turned by 90 where near, folded to -90..90."""
-    found = _neighbours(tiles, F.greatest("sx", "sy")).withColumn("distance", _distance(True)).where(F.col("distance") < F.greatest(*_LARGEST))
+    """(i, j, angle) of the pairs of :func:`pairs`: the direction between centers in the plane, turned by 90 where near, folded to -90..90."""
+    found = _neighbours(tiles, F.greatest("sx", "sy"), "near").withColumn("distance", _distance(False)).where(F.col("distance") < F.greatest(*_LARGEST))
     raw = F.degrees(F.atan2(_center("b", "y") - _center("a", "y"), _center("b", "x") - _center("a", "x")))
     raw = raw + F.when(F.col("distance") < F.least(*_LARGEST), 90.0).otherwise(0.0)
     folded = F.when(raw > 90, raw - 180).when(raw < -90, raw + 180).otherwise(raw)
@@ -70,7 +83,7 @@ def consecutive(tiles: DataFrame) -> DataFrame:
 
 
 def overlaps(tiles: DataFrame) -> DataFrame:
-    """(tile_id, nearest, has_overlap, large): nearest center distance over the mean diagonal.
+    """(tile_id, nearest, has_overlap, large): nearest center distance, z included, over the mean diagonal.
 
     Neighbours are searched first. A tile whose nearest may lie beyond them is searched again in cells twice
     as wide, until it can't or all tiles are neighbours.
@@ -80,10 +93,10 @@ def overlaps(tiles: DataFrame) -> DataFrame:
     def ratios(found: DataFrame) -> DataFrame:
         return found.select("a_tile_id", "b_tile_id", (F.col("distance") / mean).alias("ratio"))
 
-    found = ratios(_neighbours(tiles, F.greatest("sx", "sy") * 2).withColumn("distance", _distance(True)))
+    found = ratios(_neighbours(tiles, F.greatest("sx", "sy") * 2, "near").withColumn("distance", _distance(False)))
     found = found.select(F.explode(F.array("a_tile_id", "b_tile_id")).alias("tile_id"), "ratio").groupBy("tile_id").agg(F.min("ratio").alias("nearest"))
     found = tiles.select("tile_id").join(found, "tile_id", "left")
-    side, diagonal, width = tiles.agg(F.max(F.greatest("sx", "sy")), F.max(F.sqrt(F.pow("sx", 2) + F.pow("sy", 2))), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()
+    side, diagonal, width = tiles.agg(F.max(F.greatest("sx", "sy")), F.max(F.sqrt(F.pow("sx", 2) + F.pow("sy", 2))), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.max("z") - F.min("z"))).first()
     size = 2 * (side or 0.0)
     while diagonal and size < width:
         # a tile out of the searched cells is further than their size from corner to corner
@@ -92,7 +105,7 @@ def overlaps(tiles: DataFrame) -> DataFrame:
         if open_.isEmpty():
             break
         size *= 2
-        more = _around(tiles.join(open_, "tile_id"), tiles, size).withColumn("distance", _distance(True))
+        more = _around(tiles.join(open_, "tile_id"), tiles, size, "near").withColumn("distance", _distance(False))
         more = ratios(more).groupBy(F.col("a_tile_id").alias("tile_id")).agg(F.min("ratio").alias("further"))
         found = found.join(more, "tile_id", "left").select("tile_id", F.least("nearest", "further").alias("nearest"))
     return found.select("tile_id", "nearest", F.coalesce(F.col("nearest") < 1, F.lit(False)).alias("has_overlap"), F.coalesce(F.col("nearest") <= 0.5, F.lit(False)).alias("large"))
@@ -100,7 +113,7 @@ def overlaps(tiles: DataFrame) -> DataFrame:
 
 def overlap_boxes(tiles: DataFrame) -> DataFrame:
     """(i, j, x0, y0, x1, y1, area) of the common area of tiles on one z."""
-    found = _neighbours(tiles, F.greatest("sx", "sy")).where("a_z = b_z")
+    found = _neighbours(tiles, F.greatest("sx", "sy"), "same")
     found = found.select(F.col("a_tile_id").alias("i"), F.col("b_tile_id").alias("j"), *(F.greatest(f"a_{c}", f"b_{c}").alias(f"{c}0") for c in "xy"), *(F.least(F.col(f"a_{c}") + F.col(f"a_s{c}"), F.col(f"b_{c}") + F.col(f"b_s{c}")).alias(f"{c}1") for c in "xy"))
     return found.where("x0 < x1 AND y0 < y1").withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
 

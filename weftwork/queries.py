@@ -34,7 +34,7 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching_tiles_fused(spark, sf_dir)
+    return queries_stitching.stitched_scene(spark, sf_dir)
 
 
 @query(f"""WITH {TILES}, {PIXELS}, p AS (SELECT a.tile_id AS i, b.tile_id AS j FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id WHERE {PAIR.format(z=' + (a.z - b.z) ** 2')} < 25.6),
@@ -59,9 +59,11 @@ def pairs_orthogonal(spark, sf_dir):
     return rounded(tiles.pairs(tile_rows(spark, sf_dir)), "distance")
 
 
-@query(_pairs_sql(" + (a.z - b.z) ** 2", "12.8"))
+@query(_pairs_sql(" + (a.z - b.z) ** 2", "12.8").replace(TILES, f"{TILES.replace('tiles AS', 'wide AS', 1)}, tiles AS (SELECT tile_id, x / 3 AS x, y / 3 AS y, z / 3 AS z, s FROM wide)"))
 def pairs_overlap(spark, sf_dir):
-    return rounded(tiles.pairs(tile_rows(spark, sf_dir), overlap=True), "distance")
+    """Large overlaps, on a stage drawn together to a third."""
+    t = tile_rows(spark, sf_dir).withColumns({c: F.col(c) / 3 for c in "xyz"})
+    return rounded(tiles.pairs(t, overlap=True), "distance")
 
 
 @query(_pairs_sql("", "CASE WHEN a.z = b.z THEN 25.6 ELSE 25.6 * 0.8 END", "abs(a.zr - b.zr) <= 1", True))
@@ -69,7 +71,7 @@ def pairs_mixed_z(spark, sf_dir):
     return rounded(tiles.pairs(tile_rows(spark, sf_dir), mixed_z=True), "distance")
 
 
-@query(f"""WITH {TILES}, p AS (SELECT a.tile_id AS i, b.tile_id AS j, {PAIR.format(z='')} AS d, degrees(atan2(b.y - a.y, b.x - a.x)) AS g FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id),
+@query(f"""WITH {TILES}, p AS (SELECT a.tile_id AS i, b.tile_id AS j, {PAIR.format(z=' + (a.z - b.z) ** 2')} AS d, degrees(atan2(b.y - a.y, b.x - a.x)) AS g FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id),
 q AS (SELECT i, j, CASE WHEN d < 25.6 THEN g + 90 ELSE g END AS g FROM p WHERE d < 25.6)
 SELECT i, j, round(CASE WHEN g > 90 THEN g - 180 WHEN g < -90 THEN g + 180 ELSE g END, 6) + 0.0::DOUBLE AS angle FROM q""")
 def pair_angles(spark, sf_dir):
@@ -81,9 +83,8 @@ def pairs_stack(spark, sf_dir):
     return tiles.consecutive(tile_rows(spark, sf_dir).withColumn("x", F.floor(F.col("x") / 24.0)))
 
 
-@query(f"""WITH {TILES}, p AS (SELECT a.tile_id AS i, b.tile_id AS j, {PAIR.format(z='')} / sqrt(2 * 25.6::DOUBLE ** 2) AS r FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id WHERE abs(floor(a.x / 51.2) - floor(b.x / 51.2)) <= 1 AND abs(floor(a.y / 51.2) - floor(b.y / 51.2)) <= 1),
-n AS (SELECT t, min(r) AS r FROM (SELECT unnest([i, j]) AS t, r FROM p) GROUP BY t)
-SELECT tile_id, round(r, 6) AS nearest, coalesce(r < 1, FALSE) AS has_overlap, coalesce(r <= 0.5, FALSE) AS large FROM tiles LEFT JOIN n ON t = tile_id""")
+@query(f"""WITH {TILES}, p AS (SELECT a.tile_id AS t, min({PAIR.format(z=' + (a.z - b.z) ** 2')} / sqrt(2 * 25.6::DOUBLE ** 2)) AS r FROM tiles a JOIN tiles b ON a.tile_id <> b.tile_id GROUP BY 1)
+SELECT tile_id, round(r, 6) AS nearest, coalesce(r < 1, FALSE) AS has_overlap, coalesce(r <= 0.5, FALSE) AS large FROM tiles LEFT JOIN p ON t = tile_id""")
 def validate_overlap(spark, sf_dir):
     return rounded(tiles.overlaps(tile_rows(spark, sf_dir)), "nearest")
 

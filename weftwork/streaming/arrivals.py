@@ -1,4 +1,4 @@
-"""Tiles that arrive over time: each micro-batch is paired with itself and with all tiles known before."""
+"""Tiles that arrive over time: each micro-batch is paired with itself and with the tiles known before that are near it."""
 
 from __future__ import annotations
 
@@ -17,10 +17,11 @@ def pair_arrivals(spark: SparkSession, arriving: DataFrame, known: str, edges: s
         rows = rows.dropDuplicates(["tile_id"]).cache()
         path = spark._jvm.org.apache.hadoop.fs.Path(known)
         before = [p for p in (path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{known}/batch=*")) or ()) if int(p.getPath().getName().split("=")[1]) < number]
-        every = rows if not before else rows.unionByName(spark.read.parquet(*(p.getPath().toString() for p in before)).select(*rows.columns).join(rows.select("tile_id"), "tile_id", "left_anti"))
-        new = rows.select(F.col("tile_id").alias("n"))
-        found = tiles.pairs(every)
-        found.join(new, (F.col("i") == F.col("n")) | (F.col("j") == F.col("n")), "left_semi").write.mode("overwrite").parquet(f"{edges}/batch={number}")
+        found = tiles.pairs(rows)
+        if before:
+            known_rows = spark.read.parquet(*(p.getPath().toString() for p in before)).select(*rows.columns).join(rows.select("tile_id"), "tile_id", "left_anti")
+            found = found.unionByName(tiles.pairs_between(rows, known_rows))
+        found.write.mode("overwrite").parquet(f"{edges}/batch={number}")
         rows.write.mode("overwrite").parquet(f"{known}/batch={number}")
         rows.unpersist()
 
