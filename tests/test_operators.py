@@ -135,7 +135,9 @@ def test_zarr_chunks(spark, tmp_path, codec):
 
 def test_zarr_codecs():
     block = np.arange(6, dtype=">i4").tobytes()
-    assert chunks._decoded(block + b"none", ["bytes:big", "crc32c"]) == (block, ">")
+    assert chunks._decoded(block + chunks.crc32c(block).to_bytes(4, "little"), ["bytes:big", "crc32c"]) == (block, ">")
+    with pytest.raises(ValueError):
+        chunks._decoded(block + b"none", ["bytes:big", "crc32c"])
     with pytest.raises(ValueError):
         chunks._decoded(block, ["bytes:little", "blosc"])
 
