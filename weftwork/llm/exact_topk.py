@@ -1,15 +1,18 @@
 """Exact top-k inner products with a KD-tree for each shard of the vectors.
 
 Vectors are dealt to shards of about ``SHARD`` rows by their id. In each shard median splits along the
-widest side make a tree whose nodes keep tight bounding boxes. A query visits nodes best-first by the
-largest inner product that their box allows and stops where that is under its kth score. Queries come
-in blocks: each first searches one seed shard, and the kth scores found there go with it to the others.
-A group in one task is a shard and at most ``BLOCKS`` blocks, whatever the number of vectors or queries.
+widest side make a tree whose nodes keep tight bounding boxes; trees are built once and kept as rows. A query visits
+nodes best-first by the largest inner product that their box allows and stops where that is under its kth score.
+Shards are visited in waves: a seed shard for each query, some others, the rest. The kth score found so far goes on
+with the query, and a shard whose root box can't reach it isn't visited at all. A group in one task is a tree and at
+most ``PART`` queries on average, whatever the number of vectors or queries.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,9 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.common import Scratch
 
-SHARD, LEAF, BLOCK, BLOCKS = 8192, 64, 256, 16
+SHARD, LEAF, PART = 8192, 64, 4096
+#: Root boxes that are broadcast, in bytes; beyond that every shard of a wave is visited.
+BOXES = 64_000_000
 EXACT = float(1 << 53)
 
 
@@ -46,6 +51,15 @@ class Tree:
                     todo += [(a, a + middle, at), (a + middle, b, at)]
         self.points, self.low, self.high = points[self.order], np.array(low), np.array(high)
 
+    def packed(self) -> bytes:
+        return pickle.dumps((self.order.astype(np.int32), self.nodes, self.points, self.low, self.high))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        tree.order, tree.nodes, tree.points, tree.low, tree.high = pickle.loads(data)
+        return tree
+
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The largest inner product of each query with anything in each node's box."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
@@ -88,23 +102,57 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.floor(flat.astype(np.float64) * 1024).reshape(-1, dims) if dims else np.zeros((len(column), 0))
 
 
+def _built(table: pa.Table) -> pa.Table:
+    """A shard's tree as one row, with its ids in the tree's terms and the box of its root."""
+    dims = table.column("dims")[0].as_py()
+    tree = Tree(_matrix(table.column("vector"), dims))
+    box = [pa.array([x[0].astype(float).tolist()], pa.list_(pa.float64())) for x in (tree.low, tree.high)]
+    return pa.table({"dims": pa.array([dims], pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "tree": pa.array([tree.packed()], pa.binary()), "low": box[0], "high": box[1]})
+
+
 def _shard(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(key: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
         if not rows.num_rows or not asked.num_rows:
             return schema.empty_table()
-        dims = int(key[0].as_py())
-        points, queries = _matrix(rows.column("vector"), dims), _matrix(asked.column("vector"), dims)
-        if dims and np.abs(points).max() * np.abs(queries).max() * dims >= EXACT:  # beyond exact doubles: Python's integers
-            points, queries = (np.array([[int(x) for x in row] for row in m], object) for m in (points, queries))
-        known = np.array([-np.inf if x is None else x for x in asked.column("kth").to_pylist()], object if points.dtype == object else np.float64)
-        found = search(Tree(points), rows.column("vec_id").to_numpy(), queries, asked.column("vec_id").to_numpy(), k, known)
+        dims, ids = int(key[0].as_py()), np.frombuffer(rows.column("ids")[0].as_py(), np.int64)
+        tree, queries = Tree.unpacked(rows.column("tree")[0].as_py()), _matrix(asked.column("vector"), dims)
+        if dims and np.abs(tree.points).max() * np.abs(queries).max() * dims >= EXACT:  # beyond exact doubles: Python's integers
+            whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
+            tree.points, tree.low, tree.high, queries = whole(tree.points), whole(tree.low), whole(tree.high), whole(queries)
+        known = np.array([-np.inf if x is None else x for x in asked.column("kth").to_pylist()], object if queries.dtype == object else np.float64)
+        found = search(tree, ids, queries, asked.column("vec_id").to_numpy(), k, known)
         return pa.table(list(zip(*found, strict=True)) if found else [[], [], []], schema=schema)
 
     return run
 
 
+def _within_reach(boxes, shards: int, waves: list[int], wave: int):
+    """For each query of a batch the shards of a wave, after its seed, whose root box may hold more than its kth score.
+
+    ``boxes`` broadcasts (low, high) by (dims, shard), or None. A little is added to a bound, as it is of doubles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = boxes.value if boxes is not None else None
+        for batch in batches:
+            at = []
+            for dims, seed, kth, vector in zip(*(batch.column(c).to_pylist() for c in ("dims", "seed", "kth", "vector")), strict=True):
+                own = [(seed + n) % shards for n in range(waves[wave], waves[wave + 1])]
+                if table is not None:
+                    own = [s for s in own if (dims, s) in table]
+                    if kth is not None and dims and own:
+                        q = np.floor(np.array(vector) * 1024)
+                        low, high = (np.array([table[dims, s][i] for s in own]) for i in range(2))
+                        bound = high @ np.maximum(q, 0) + low @ np.minimum(q, 0)
+                        own = [s for s, b in zip(own, bound + 1e-9 * np.abs(bound) + 1, strict=True) if b >= kth]
+                at.append(own)
+            yield batch.append_column("shards", pa.array(at, pa.list_(pa.int64())))
+
+    return run
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k highest inner products of each query with every row of another id: query_id, rank (from 1), vec_id, score.
 
@@ -123,22 +171,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return df.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(whole, F.lit(False))).withColumn("dims", F.size("vector")).distinct()
 
     rows, asked = scratch.write(valid(vectors), "vectors"), scratch.write(valid(queries), "queries")
-    shards, blocks = max(1, -(-rows.count() // SHARD)), max(1, -(-asked.count() // BLOCK))
-    parts = -(-blocks // BLOCKS)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
-    asked = asked.withColumn("part", F.floor(F.col("block") / BLOCKS)).withColumn("seed", F.pmod("block", F.lit(shards)))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    count, n_queries, widest = rows.count(), asked.count(), rows.agg(F.max("dims")).first()[0] or 0
+    shards, parts = max(1, -(-count // SHARD)), max(1, -(-n_queries // PART))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    trees = scratch.write(dealt.select("dims", "shard", "vec_id", "vector").groupBy("dims", "shard").applyInArrow(_built, "dims int, shard long, ids binary, tree binary, low array<double>, high array<double>"), "trees")
+    boxes = None
+    if shards * widest * 16 <= BOXES:
+        boxes = spark.sparkContext.broadcast({(r.dims, r.shard): (r.low, r.high) for r in trees.select("dims", "shard", "low", "high").collect()})  # BOXES at most
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts))).withColumn("seed", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)))
     out, keys = "query_id long, vec_id long, score long", ("dims", "shard", "part")
+    waves = [0, *sorted({min(n, shards) for n in (1, 1 + (shards - 1) // 8, shards)} - {0})]
 
-    def visit(asked: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_shard(k), out)
+    def visit(asked: DataFrame, wave: int) -> DataFrame:
+        reached = asked.select("vec_id", "vector", "dims", "part", "seed", "kth").mapInArrow(_within_reach(boxes, shards, waves, wave), "vec_id long, vector array<double>, dims int, part long, seed long, kth long, shards array<long>")
+        reached = scratch.write(reached.select("vec_id", "vector", "dims", "part", "kth", F.explode("shards").alias("shard")), f"reached-{wave}")
+        own = reached.select(*(F.col(c).alias(f"t_{c}") for c in keys)).distinct()
+        needed = own.join(trees.select(F.col("dims").alias("t_dims"), F.col("shard").alias("t_shard"), "ids", "tree"), ["t_dims", "t_shard"])
+        return needed.groupBy(*(f"t_{c}" for c in keys)).cogroup(reached.groupBy(*keys)).applyInArrow(_shard(k), out)
 
     def best(found: DataFrame) -> DataFrame:
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    first = scratch.write(best(visit(asked.withColumn("shard", F.col("seed")).withColumn("kth", F.lit(None).cast("long")))), "first")
-    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    others = asked.join(kth, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where("shard != seed")
-    return best(first.drop("rank").unionByName(visit(others))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = None
+    for wave in range(len(waves) - 1):
+        if found is None:
+            now = asked.withColumn("kth", F.lit(None).cast("long"))
+        else:
+            kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+            now = asked.join(kth, "vec_id", "left")
+        more = visit(now, wave)
+        found = scratch.write(best(more if found is None else found.drop("rank").unionByName(more)), f"found-{wave}")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
