@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,14 +61,16 @@ def shortest_paths(edges: DataFrame, tiles: DataFrame, root: int | None = None)
         reached = components(edges, tiles).where("tile_id = component").select("tile_id")
     else:
         reached = tiles.where(F.col("tile_id") == root).select("tile_id")
-    reached = reached.select("tile_id", F.lit(0).alias("hops"), affine.identity().alias("matrix")).checkpoint()
-    front, n = reached, 0
-    while not front.isEmpty():
+    front = reached.select("tile_id", F.lit(0).alias("hops"), affine.identity().alias("matrix")).checkpoint()
+    fronts, n = [front], 0
+    while not front.isEmpty():  # a tile's neighbours are as far as it, or one edge nearer or further
         n += 1
         ways = front.select(F.col("tile_id").alias("u"), "matrix").join(both, "u").select(F.col("v").alias("tile_id"), "u", affine.product(F.col("matrix"), F.col("step")).alias("matrix"))
-        front = ways.join(reached.select("tile_id"), "tile_id", "left_anti").groupBy("tile_id").agg(F.min_by("matrix", "u").alias("matrix")).select("tile_id", F.lit(n).alias("hops"), "matrix").checkpoint()
-        reached = reached.union(front).checkpoint()
-    return reached
+        for seen in fronts[-2:]:
+            ways = ways.join(seen.select("tile_id"), "tile_id", "left_anti")
+        front = ways.groupBy("tile_id").agg(F.min_by("matrix", "u").alias("matrix")).select("tile_id", F.lit(n).alias("hops"), "matrix").checkpoint()
+        fronts.append(front)
+    return reduce(DataFrame.union, fronts)
 
 
 def translations(edges: DataFrame, tiles: DataFrame) -> DataFrame:

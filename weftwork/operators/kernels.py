@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,80 @@ def area_points(image: np.ndarray) -> np.ndarray:
     return np.array([np.argwhere(label == i).mean(axis=0) for i in kept]).reshape(-1, 2)
 
 
+def points_by_thresholds(image: np.ndarray) -> np.ndarray:
+    """Centers (y, x) of bright regions of an image from 0 to 255: above Otsu's threshold or, where that gives at most one region, above the first of 0, 5, 10 and on that gives more; regions over the mean area."""
+    for level in (otsu(image), *range(0, 256, 5)):
+        found = _regions(image > level)
+        if len(found) > 1:
+            break
+    mean = max(np.mean([len(r) for r in found]), 1) if found else 0
+    return np.array([r.mean(axis=0) for r in sorted(found, key=len, reverse=True) if len(r) > mean or len(found) == 1 or all(len(q) == len(r) for q in found)]).reshape(-1, image.ndim)
+
+
+def _regions(mask: np.ndarray) -> list[np.ndarray]:
+    """The places of each part of a mask that is connected along its axes."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    while True:
+        padded = np.pad(label, 1)
+        core = tuple(slice(1, -1) for _ in label.shape)
+        near = [padded[core]]
+        for axis in range(label.ndim):
+            for side in (slice(0, -2), slice(2, None)):
+                at = list(core)
+                at[axis] = side
+                near.append(padded[tuple(at)])
+        stack = np.stack(near)
+        new = np.where(mask, np.where(stack > 0, stack, label.size + 1).min(axis=0), 0)
+        if (new == label).all():
+            break
+        label = new
+    places, ids = np.argwhere(mask), label[mask]
+    order = np.argsort(ids, kind="stable")
+    return np.split(places[order], np.flatnonzero(np.diff(ids[order])) + 1) if len(ids) else []
+
+
+def volume_points(volume: np.ndarray, least: float = 1.0, most: float = 30.0, sizes: int = 10, threshold: float = 0.1) -> np.ndarray:
+    """Centers (z, y, x) of bright blobs: maxima over place and size of the scaled Laplacian of Gaussians, above a threshold.
+
+    Of blobs that overlap by more than half the larger one stays. Sizes that the volume is too small for are left out.
+    """
+    sigmas = [s for s in np.linspace(least, most, sizes) if s <= max(volume.shape)]
+    cube = np.stack([_laplacian(volume, s) * s * s for s in sigmas], axis=-1)
+    padded = np.pad(cube, 1, constant_values=-np.inf)
+    peak = cube > threshold
+    for step in np.ndindex(*(3,) * cube.ndim):
+        peak &= cube >= padded[tuple(slice(k, k + n) for k, n in zip(step, cube.shape, strict=True))]
+    found = [(*at[:-1], sigmas[at[-1]], cube[tuple(at)]) for at in np.argwhere(peak)]
+    kept: list[tuple] = []
+    for blob in sorted(found, key=lambda b: (-b[-2], -b[-1])):
+        radius = blob[-2] * np.sqrt(volume.ndim)
+        if all(np.linalg.norm(np.subtract(blob[:-2], other[:-2])) > max(radius, other[-2] * np.sqrt(volume.ndim)) * 0.5 for other in kept):
+            kept.append(blob)
+    return np.array([b[:-2] for b in kept], float).reshape(-1, volume.ndim)
+
+
+def _laplacian(volume: np.ndarray, sigma: float) -> np.ndarray:
+    """Minus the Laplacian of a Gaussian, one axis after the other, edges repeated."""
+    reach = int(4 * sigma + 0.5)
+    at = np.arange(-reach, reach + 1)
+    smooth = np.exp(-0.5 * (at / sigma) ** 2)
+    smooth /= smooth.sum()
+    bend = smooth * (at**2 / sigma**4 - 1 / sigma**2)
+
+    def along(data: np.ndarray, axis: int, weights: np.ndarray) -> np.ndarray:
+        pad = [(0, 0)] * data.ndim
+        pad[axis] = (reach, reach)
+        return np.lib.stride_tricks.sliding_window_view(np.pad(data, pad, "edge"), 2 * reach + 1, axis) @ weights
+
+    total = np.zeros(volume.shape)
+    for bent in range(volume.ndim):
+        part = volume.astype(float)
+        for axis in range(volume.ndim):
+            part = along(part, axis, bend if axis == bent else smooth)
+        total -= part
+    return total
+
+
 def corners(image: np.ndarray, most: int = 500, size: int = 9, sigma: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
     """Harris corners (y, x) by strength and normalised patches around them as descriptors."""
     dy, dx = np.gradient(gaussian(image, 1.0))
@@ -211,6 +287,92 @@ def oriented_box(points: np.ndarray) -> np.ndarray:
     return best[1]
 
 
+def oriented_box_3d(points: np.ndarray) -> np.ndarray:
+    """Eight corners of a least box around 3D points; candidate axes are those of planes through three points, and of the points' spread.
+
+    Flat clouds give a box without height. The corners go around the lower face, then the upper one.
+    """
+    pts = np.unique(points, axis=0)
+    mean = pts.mean(axis=0)
+    spread = np.linalg.svd(pts - mean, full_matrices=True)[2]
+    bases = [spread]
+    for i, j, k in combinations(range(len(pts)), 3) if len(pts) <= 40 else ():
+        a, b = pts[j] - pts[i], pts[k] - pts[i]
+        normal = np.cross(a, b)
+        if np.linalg.norm(normal) < 1e-9 * (np.linalg.norm(a) * np.linalg.norm(b) + 1e-300):
+            continue
+        normal /= np.linalg.norm(normal)
+        for edge in (a, b, pts[k] - pts[j]):
+            side = edge / np.linalg.norm(edge)
+            bases.append(np.array([side, np.cross(normal, side), normal]))
+    best = (np.inf, None)
+    for axes in bases:
+        low, high = (pts @ axes.T).min(axis=0), (pts @ axes.T).max(axis=0)
+        sides = np.sort(high - low)
+        key = (float(np.prod(high - low)), float(sides[1:].prod()))
+        if best[1] is None or key < best[0]:
+            ring = [(0, 0), (1, 0), (1, 1), (0, 1)]
+            corner = np.array([[(low, high)[x][0], (low, high)[y][1], (low, high)[z][2]] for z in (0, 1) for x, y in ring])
+            best = (key, corner @ axes)
+    return best[1]
+
+
+def box_edges(corner: np.ndarray) -> np.ndarray:
+    """A path of 17 places along all twelve edges of a box."""
+    return corner[[0, 1, 2, 3, 0, 4, 5, 6, 7, 4, 5, 1, 2, 6, 7, 3, 0]]
+
+
+def turned(image: np.ndarray, degrees: float, dy: float, dx: float) -> np.ndarray:
+    """An image turned around its center and shifted, bilinear; NaN beyond it."""
+    h, w = image.shape
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    y, x = np.mgrid[0:h, 0:w] - np.array([(h - 1) / 2 + dy, (w - 1) / 2 + dx])[:, None, None]
+    u, v = c * x + s * y + (w - 1) / 2, c * y - s * x + (h - 1) / 2
+    inside = (u >= 0) & (u <= w - 1) & (v >= 0) & (v <= h - 1)
+    v, u = np.clip(v, 0, h - 1), np.clip(u, 0, w - 1)
+    a, b = np.minimum(v.astype(int), max(h - 2, 0)), np.minimum(u.astype(int), max(w - 2, 0))
+    p, q = v - a, u - b
+    a1, b1 = np.minimum(a + 1, h - 1), np.minimum(b + 1, w - 1)
+    out = image[a, b] * (1 - p) * (1 - q) + image[a, b1] * (1 - p) * q + image[a1, b] * p * (1 - q) + image[a1, b1] * p * q
+    return np.where(inside, out, np.nan)
+
+
+def intensity(fixed: np.ndarray, moving: np.ndarray, levels: int = 3, steps: int = 40) -> tuple[float, float, float, float]:
+    """(degrees, dy, dx, quality): the turn and shift that take moving onto fixed with the best correlation, from coarse to fine.
+
+    At each level a blurred pair is climbed along each parameter in steps that halve. Stands in for rigid
+    registration by intensity of other tools, which it approximates.
+    """
+    def quality(a: np.ndarray, b: np.ndarray) -> float:
+        both = ~np.isnan(b)
+        if both.sum() < 0.25 * b.size:
+            return -1.0
+        p, q = a[both] - a[both].mean(), b[both] - b[both].mean()
+        spread = np.sqrt((p * p).sum() * (q * q).sum())
+        return float((p * q).sum() / spread) if spread > 0 else -1.0
+
+    at, best = np.zeros(3), -1.0
+    dy, dx, _ = shift_by_peaks(fixed, moving)
+    for level in range(levels - 1, -1, -1):
+        a, b = (gaussian(i, 0.6 * 2**level) for i in (fixed, moving))
+        if level == levels - 1:
+            at = max((np.array([g, y, x]) for g in (-8.0, -4.0, 0.0, 4.0, 8.0) for y, x in ((0.0, 0.0), (dy, dx))), key=lambda p: quality(a, turned(b, *p)))
+        step, best = np.array([2.0, 1.0, 1.0]) * 2**level, quality(a, turned(b, *at))
+        for _ in range(steps):
+            moved = False
+            for k in range(3):
+                for sign in (1, -1):
+                    new = at.copy()
+                    new[k] += sign * step[k]
+                    if (got := quality(a, turned(b, *new))) > best + 1e-9:
+                        at, best, moved = new, got, True
+            if not moved:
+                step /= 2
+                if step[1] < 0.02:
+                    break
+    return float(at[0]), float(at[1]), float(at[2]), best
+
+
 def frc(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Fourier ring correlation by ring."""
     f, g = np.fft.fftshift(np.fft.fft2(a)), np.fft.fftshift(np.fft.fft2(b))
@@ -256,6 +418,13 @@ def by_features(fixed: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, floa
     return (t, float((inliers.sum() / len(p)) ** (1 / 3))) if inliers.sum() >= 2 else (np.eye(3), 0.0)
 
 
+def by_intensity(fixed: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, float]:
+    degrees, dy, dx, quality = intensity(fixed, moving)
+    (h, w), c, s = fixed.shape, np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    cy, cx = (h - 1) / 2, (w - 1) / 2
+    return np.array([[c, -s, cx + dx - c * cx + s * cy], [s, c, cy + dy - s * cx - c * cy], [0, 0, 1.0]]), max(quality, 0.0)
+
+
 def by_points(fixed: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, float]:
     from weftwork.operators.matching import assignment
 
@@ -269,7 +438,7 @@ def by_points(fixed: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, float]
 
 
 #: Registration methods by the names that configurations use.
-KERNELS: dict[str, Kernel] = {"phase": by_phase, "features": by_features, "cpd": by_points, "peaks": by_peaks, "dummy": fixed_transform}
+KERNELS: dict[str, Kernel] = {"phase": by_phase, "features": by_features, "cpd": by_points, "peaks": by_peaks, "intensity": by_intensity, "dummy": fixed_transform}
 
 
 def kernel(name: str) -> Kernel:
@@ -278,6 +447,8 @@ def kernel(name: str) -> Kernel:
         return KERNELS[name]
     if "cpd" in name:
         return by_points
+    if "ant" in name or "intens" in name:
+        return by_intensity
     return by_features if any(x in name for x in ("feature", "orb", "sift")) else by_phase
 
 
@@ -291,26 +462,45 @@ def image(rows: pd.DataFrame) -> np.ndarray:
 def register_pairs(pixels: DataFrame, pairs: DataFrame, method: str = "") -> DataFrame:
     """(i, j, matrix, quality): the transform (rows x, y) that takes tile j onto tile i, for each pair.
 
-    A group is the pixels of two tiles; the kernel's failures give the identity with quality 0.
+    A tile is one row with its rows of pixels, made once and joined by its id; pairs are rows of two such tiles.
+    Missing pixels take the tile's mean. The kernel's failures, and tiles without values, give the identity with quality 0.
     """
     run = kernel(method)
-    def side(tile: str) -> DataFrame:
-        """New columns on each side: both come from the same tables."""
-        keys = pairs.select(F.col("i").alias(f"{tile}_i"), F.col("j").alias(f"{tile}_j"))
-        own = pixels.select(F.col("tile_id").alias("t"), *(F.col(c).alias(f"{tile}_{c}") for c in ("y", "x", "value")))
-        return keys.join(own, keys[f"{tile}_{tile}"] == own["t"]).drop("t")
-
-    def tile(rows: pd.DataFrame, name: str) -> np.ndarray:
-        return image(rows.rename(columns={f"{name}_{c}": c for c in ("y", "x", "value")}))
-
-    def both(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        matrix, quality = (np.eye(3), 0.0)
-        if len(p) and len(q) and p.i_value.notna().any() and q.j_value.notna().any():
-            matrix, quality = run(tile(p, "i"), tile(q, "j"))
-        return pd.DataFrame({"i": [key[0]], "j": [key[1]], "matrix": [matrix.ravel().tolist()], "quality": [quality]})
-
-    a, b = side("i"), side("j")
-    return a.groupBy("i_i", "i_j").cogroup(b.groupBy("j_i", "j_j")).applyInPandas(both, "i long, j long, matrix array<double>, quality double")
+    rows = pixels.groupBy("tile_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "value"))).alias("row"))
+    tiles = rows.groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("y", "row"))).alias("rows"))
+
+    def whole(rows: list) -> np.ndarray | None:
+        out = np.full((rows[-1]["y"] + 1, max(r["row"][-1]["x"] for r in rows) + 1), np.nan)
+        for r in rows:
+            for p in r["row"]:
+                if p["value"] is not None:
+                    out[r["y"], p["x"]] = p["value"]
+        return None if np.isnan(out).all() else np.where(np.isnan(out), np.nanmean(out), out)
+
+    @F.arrow_udf("matrix array<double>, quality double")
+    def both(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for p, q in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            fixed, moving = whole(p), whole(q)
+            matrix, quality = (np.eye(3), 0.0) if fixed is None or moving is None else run(fixed, moving)
+            out.append({"matrix": matrix.ravel().tolist(), "quality": float(quality)})
+        return pa.array(out, pa.struct([("matrix", pa.list_(pa.float64())), ("quality", pa.float64())]))
+
+    sides = [tiles.select(F.col("tile_id").alias(k), F.col("rows").alias(f"{k}_rows")) for k in "ij"]
+    found = pairs.select("i", "j").join(sides[0], "i").join(sides[1], "j").select("i", "j", both("i_rows", "j_rows").alias("found"))
+    return found.select("i", "j", "found.matrix", "found.quality")
+
+
+def drifted(points: DataFrame, by: str, degrees: float, shift: tuple[float, float]) -> DataFrame:
+    """(by, m): the transform that coherent point drift finds between point sets and themselves turned and shifted; null under two points."""
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        moving = rows[["x", "y"]].drop_duplicates().to_numpy(float)
+        t = cpd(moving @ np.array([[c, -s], [s, c]]).T + shift, moving)
+        return pd.DataFrame({by: [key[0]], "m": [None if t is None else t.ravel().tolist()]})
+
+    return points.groupBy(by).applyInPandas(run, f"`{by}` {dict(points.dtypes)[by]}, m array<double>")
 
 
 def blurred(pixels: DataFrame, sigma: float) -> DataFrame:

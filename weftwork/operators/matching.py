@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,11 +14,47 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
 
 
+#: Points of a block and of a shard, whose distances one task holds together.
+BLOCK, SHARD = 512, 4096
+
+
+def _dealt(points: DataFrame, by: str, size: int, name: str) -> DataFrame:
+    """Points with a part of their key's, of about a size."""
+    parts = points.groupBy(by).agg(F.ceil(F.count("*") / size).alias("parts"))
+    return points.join(parts, by).withColumn(name, F.pmod(F.xxhash64("idx"), F.col("parts"))).drop("parts")
+
+
 def nearest(a: DataFrame, b: DataFrame, by: str, k: int = 2) -> DataFrame:
-    """(by, a, b, distance, rank): the k nearest of b for each of a with the same key, ties to the smaller index."""
-    left = a.select(by, F.col("idx").alias("a"), F.col("vector").alias("va"))
-    right = b.select(by, F.col("idx").alias("b"), F.col("vector").alias("vb"))
-    found = left.join(right, by).select(by, "a", "b", euclidean("va", "vb").alias("distance"))
+    """(by, a, b, distance, rank): the k nearest of b for each of a with the same key, ties to the smaller index.
+
+    Both sides are dealt to blocks and shards; a task compares one block with one shard and gives k rows for each
+    point, so pairs are never rows and a key may hold any number of points. Distances are of the differences.
+    """
+    kind = dict(a.dtypes)[by]
+
+    def run(key: tuple, p: pa.Table, q: pa.Table) -> pa.Table:
+        x, y = (np.array(t.column("vector").to_pylist(), float).reshape(t.num_rows, -1) for t in (p, q))
+        ids, others = p.column("idx").to_numpy(), q.column("idx").to_numpy()
+        if not len(x) or not len(y):
+            return pa.table([[]] * 4, schema=pa.schema([(by, p.schema.field(by).type), ("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float64())]))
+        rough = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T
+        m = min(k, len(y))
+        limit = np.partition(rough, m - 1, axis=1)[:, m - 1] + 1e-9 * (1 + np.abs(rough).max())
+        rows, cols = np.nonzero(rough <= limit[:, None])
+        exact = np.sqrt(((x[rows] - y[cols]) ** 2).sum(axis=1))
+        order = np.lexsort((others[cols], exact, rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < m
+        keys = pa.array([key[0].as_py()] * int(best.sum()), p.schema.field(by).type)
+        return pa.table({by: keys, "a": pa.array(ids[rows[best]], pa.int64()), "b": pa.array(others[cols[best]], pa.int64()), "distance": exact[best]})
+
+    left = _dealt(a.select(by, "idx", F.col("vector").cast("array<double>").alias("vector")), by, BLOCK, "block")
+    right = _dealt(b.select(by, "idx", F.col("vector").cast("array<double>").alias("vector")), by, SHARD, "shard")
+    left = left.join(right.select(by, "shard").distinct(), by)  # each block with each shard of its key
+    blocks = a.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    right = right.join(blocks, by).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    right = right.select(*(F.col(c).alias(c if c in ("idx", "vector") else f"q_{c}") for c in (by, "shard", "block", "idx", "vector")))
+    found = left.groupBy(by, "shard", "block").cogroup(right.groupBy(f"q_{by}", "q_shard", "q_block")).applyInArrow(run, f"`{by}` {kind}, a long, b long, distance double")
     order = W.partitionBy(by, "a").orderBy("distance", "b")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -38,8 +75,7 @@ def cross_checked(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
 def nn_distance(points: DataFrame, by: str) -> DataFrame:
     """(by, nn): median distance to the nearest other distinct point, 1 with fewer than two."""
     distinct = points.groupBy(by, "vector").agg(F.min("idx").alias("idx"))
-    other = distinct.select(by, F.col("idx").alias("o"), F.col("vector").alias("w"))
-    least = distinct.join(other, by).where("idx != o").groupBy(by, "idx").agg(F.min(euclidean("vector", "w")).alias("d"))
+    least = nearest(distinct, distinct.select("*"), by, 2).where("a != b").groupBy(by, "a").agg(F.min("distance").alias("d"))
     return points.select(by).distinct().join(least.groupBy(by).agg(F.percentile("d", F.lit(0.5)).alias("nn")), by, "left").select(by, F.coalesce("nn", F.lit(1.0)).alias("nn"))
 
 
@@ -90,11 +126,3 @@ def translation_ransac(matches: DataFrame, by: str, trials: int, threshold: floa
     votes = tried.join(matches, by).groupBy(by, "trial", "tx", "ty").agg(F.sum(near.cast("long")).alias("inliers"))
     best = votes.groupBy(by).agg(F.max_by(F.struct("tx", "ty", "inliers"), F.struct("inliers", -F.col("trial"))).alias("t"))
     return best.select(by, F.col("t.tx").alias("dx"), F.col("t.ty").alias("dy"), F.col("t.inliers").alias("inliers"))
-
-
-def edge_filtered(points: DataFrame, width: float, height: float, part: float = 0.1, threshold: float = 0.5) -> DataFrame:
-    """Points far enough from the border, weighted by their rank."""
-    edge = F.least(F.col("x"), F.col("y"), width - F.col("x"), height - F.col("y")) / (part * min(width, height))
-    n = F.count("*").over(W.partitionBy("set"))
-    rank = 1 - (F.row_number().over(W.partitionBy("set").orderBy("idx")) - 1) / n
-    return points.withColumn("weight", F.least(F.greatest(edge, F.lit(0.0)), F.lit(1.0)) * rank).where(F.col("weight") > threshold)

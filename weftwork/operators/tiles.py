@@ -76,6 +76,19 @@ def pair_angles(tiles: DataFrame) -> DataFrame:
     return found.select(F.col("a_tile_id").alias("i"), F.col("b_tile_id").alias("j"), folded.alias("angle"))
 
 
+def following(rows: DataFrame, key: str, parts: int = 200) -> DataFrame:
+    """(i, j): each key with the next larger one. Keys are ordered within ranges of equal width, and ranges joined at their ends."""
+    ids = rows.select(F.col(key).alias("i")).where("i IS NOT NULL").distinct()
+    low, high = ids.agg(F.min("i"), F.max("i")).first()
+    if low is None:
+        return ids.select("i", F.col("i").alias("j"))
+    width = max(1, -(-(high - low + 1) // parts))
+    ids = ids.withColumn("part", F.floor((F.col("i") - low) / width))
+    after = ids.groupBy("part").agg(F.min("i").alias("first")).select(F.col("part"), F.lead("first").over(W.orderBy("part")).alias("after"))  # ``parts`` rows
+    within = ids.withColumn("j", F.lead("i").over(W.partitionBy("part").orderBy("i")))
+    return within.join(F.broadcast(after), "part").select("i", F.coalesce("j", "after").alias("j")).where("j IS NOT NULL")
+
+
 def consecutive(tiles: DataFrame) -> DataFrame:
     """Each tile of a stack with the next by z, then id, within its part of the grid."""
     order = W.partitionBy("x", "y").orderBy("z", "tile_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from weftwork.catalog import ORACLE_SQL, QUERIES, query, rounded
 from weftwork.functions import affine, text, units
-from weftwork.operators import graph, kernels, matching, pixels, tiles
+from weftwork.operators import graph, kernels, matching, pixels, stitch, tiles
 from weftwork.plans import registration
 from weftwork.sources import chunks, files
 from weftwork.sources.fixtures import SIDE, table
@@ -29,8 +29,7 @@ PAIR = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2{z})"
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's tile with the next one's."""
-    ids = table(spark, sf_dir, "embeddings").select("vec_id")
-    return ids.withColumn("j", F.lead("vec_id").over(W.orderBy("vec_id"))).where("j IS NOT NULL").select(F.col("vec_id").alias("i"), "j")
+    return tiles.following(table(spark, sf_dir, "embeddings"), "vec_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +286,11 @@ def nn_distance(spark, sf_dir):
     return rounded(matching.nn_distance(_points(spark, sf_dir), "label"), "nn")
 
 
-@query()
+@query(f"""WITH RECURSIVE {VEC}, d AS (SELECT a.label, a.idx AS a, b.idx AS b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))) AS d FROM e a JOIN e b ON a.label = b.label AND a.idx % 2 = 0 AND b.idx % 2 = 1),
+l AS (SELECT label, a, list((d, b) ORDER BY d, b) AS near, min(d) AS least FROM d GROUP BY label, a), n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY least, a) AS n FROM l),
+r AS (SELECT label, 0::BIGINT AS n, []::BIGINT[] AS taken, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS distance, FALSE AS is_inlier FROM (SELECT DISTINCT label FROM l) UNION ALL
+SELECT label, n, CASE WHEN ok THEN list_append(taken, f[1][2]) ELSE taken END, a, f[1][2], f[1][1], coalesce(ok, FALSE) FROM (SELECT *, f[1][1] < 1.4 AND (len(f) < 2 OR f[1][1] < 0.98 * f[2][1]) AS ok FROM (SELECT n.label, n.n, r.taken, n.a, list_filter(n.near, lambda x: NOT list_contains(r.taken, x[2])) AS f FROM r JOIN n ON n.label = r.label AND n.n = r.n + 1)))
+SELECT label, a, b, round(distance, 6) AS distance, is_inlier FROM r WHERE b IS NOT NULL""")
 def match_assign(spark, sf_dir):
     return rounded(matching.match_assign(*_halves(spark, sf_dir), "label", 1.4, 0.98), "distance")
 
@@ -355,35 +358,58 @@ def shortest_path_hops(spark, sf_dir):
     return graph.shortest_paths(_edges(spark, sf_dir), tile_rows(spark, sf_dir)).select("tile_id", "hops")
 
 
-@query()
+@query(f"WITH RECURSIVE {EDGES}, u AS (SELECT i AS a, j AS b FROM edges WHERE quality > 0 UNION SELECT j, i FROM edges WHERE quality > 0), r AS (SELECT tile_id AS t, tile_id AS c FROM tiles UNION SELECT r.t, u.b FROM r JOIN u ON r.c = u.a), g AS (SELECT t, min(c) AS c FROM r GROUP BY t) SELECT t AS tile_id, 0.0::DOUBLE AS gx, 0.0::DOUBLE AS gy, CASE WHEN t = c THEN 0.0::DOUBLE END AS still FROM g")
 def global_translation(spark, sf_dir):
+    """What is left of the least squares' gradient at each tile's shift, and the shift of each part's smallest tile."""
     _checkpointed(spark)
-    return rounded(graph.translations(_edges(spark, sf_dir), tile_rows(spark, sf_dir)), "dx", "dy")
+    e = _edges(spark, sf_dir)
+    found = stitch.resolve(e, tile_rows(spark, sf_dir)).select("tile_id", F.col("matrix")[2].alias("dx"), F.col("matrix")[5].alias("dy"))
+    ends = [found.select(F.col("tile_id").alias(k), F.col("dx").alias(f"{k}x"), F.col("dy").alias(f"{k}y")) for k in "ij"]
+    pull = [F.col("quality") * (F.col(f"j{a}") - F.col(f"i{a}") - F.col("matrix")[m]) for a, m in (("x", 2), ("y", 5))]
+    rows = e.where("quality > 0").join(ends[0], "i").join(ends[1], "j").select(F.explode(F.array(F.struct(F.col("i").alias("tile_id"), (-pull[0]).alias("gx"), (-pull[1]).alias("gy")), F.struct(F.col("j").alias("tile_id"), pull[0].alias("gx"), pull[1].alias("gy")))).alias("e")).select("e.*")
+    left = found.join(rows.groupBy("tile_id").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy")), "tile_id", "left")
+    parts = graph.components(e.where("quality > 0"), tile_rows(spark, sf_dir))
+    out = left.join(parts, "tile_id").select("tile_id", F.coalesce("gx", F.lit(0.0)).alias("gx"), F.coalesce("gy", F.lit(0.0)).alias("gy"), F.when(F.col("tile_id") == F.col("component"), F.abs(F.col("dx")) + F.abs(F.col("dy"))).alias("still"))
+    return rounded(out, "gx", "gy", "still")
 
 
-@query()
+@query("SELECT vec_id AS i, (vec_id + 1000000000)::BIGINT AS j, -(vec_id % 4) + 0.0::DOUBLE AS dx, -(vec_id % 3) + 0.0::DOUBLE AS dy, 1.0::DOUBLE AS quality FROM embeddings")
 def phase_correlation(spark, sf_dir):
-    return kernels.register_pairs(pixel_rows(spark, sf_dir), neighbours(spark, sf_dir), "phase").select("i", "j", F.round(F.col("matrix")[2], 4).alias("dx"), F.round(F.col("matrix")[5], 4).alias("dy"), F.round("quality", 6).alias("quality"))
+    """Each tile against itself rolled by some pixels."""
+    px = pixel_rows(spark, sf_dir)
+    rolled = px.withColumns({"y": ((F.col("y") + F.col("tile_id") % 3) % 8).cast("int"), "x": ((F.col("x") + F.col("tile_id") % 4) % 8).cast("int"), "tile_id": F.col("tile_id") + 1_000_000_000})
+    pairs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), (F.col("vec_id") + 1_000_000_000).alias("j"))
+    both = px.withColumn("x", F.col("x").cast("int")).unionByName(rolled)
+    return rounded(kernels.register_pairs(both, pairs, "phase").select("i", "j", F.col("matrix")[2].alias("dx"), F.col("matrix")[5].alias("dy"), "quality"), "dx", "dy", "quality")
 
 
-@query()
+@query("SELECT DISTINCT label, 10.0::DOUBLE AS angle, 2.0::DOUBLE AS dx, -1.0::DOUBLE AS dy, 1.0::DOUBLE AS scale FROM embeddings")
 def coherent_point_drift(spark, sf_dir):
-    return kernels.register_pairs(pixel_rows(spark, sf_dir), neighbours(spark, sf_dir), "cpd").select("i", "j", F.round("quality", 6).alias("quality"))
+    """Point sets against themselves turned by 10 degrees and shifted, without correspondences."""
+    p = table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    m = F.col("m")
+    return rounded(kernels.drifted(p, "label", 10.0, (2.0, -1.0)).select("label", affine.angle(m).alias("angle"), m[2].alias("dx"), m[5].alias("dy"), affine.scale(m).alias("scale")), "angle", "dx", "dy", "scale", digits=1)
 
 
-@query()
-def feature_registration(spark, sf_dir):
-    return kernels.register_pairs(pixel_rows(spark, sf_dir), neighbours(spark, sf_dir), "features").select("i", "j", F.round("quality", 6).alias("quality"))
+_BLUR = "k AS (SELECT d, exp(-0.5 * d * d) / (SELECT sum(exp(-0.5 * i * i)) FROM (SELECT unnest(generate_series(-4, 4)) AS i)) AS w FROM (SELECT unnest(generate_series(-4, 4)) AS d))"
 
 
-@query()
+@query(f"""WITH {PIXELS}, {_BLUR}, q AS (SELECT a::INTEGER AS y, b::INTEGER AS x, least(greatest(a + p.d, 0), 7) AS sy, least(greatest(b + r.d, 0), 7) AS sx, sum(p.w * r.w) AS w FROM (SELECT unnest(generate_series(0, 7)) AS a), (SELECT unnest(generate_series(0, 7)) AS b), k p, k r GROUP BY ALL)
+SELECT tile_id, z, q.y, q.x, round(sum(value * w), 6) + 0.0::DOUBLE AS value FROM pixels v JOIN q ON v.y = sy AND v.x = sx GROUP BY ALL""")
 def gaussian_blur(spark, sf_dir):
     return rounded(kernels.blurred(pixel_rows(spark, sf_dir), 1.0), "value")
 
 
-@query()
+@query(f"""WITH {TILES}, p AS (SELECT z, x + (a - 1) * s AS x, y + (b - 1) * s AS y FROM tiles, (SELECT unnest([1, 2]) AS a), (SELECT unnest([1, 2]) AS b)), d AS (SELECT DISTINCT a.z, atan2(b.y - a.y, b.x - a.x) AS g FROM p a JOIN p b ON a.z = b.z AND (a.x <> b.x OR a.y <> b.y)),
+e AS (SELECT d.z, g, (max(x * cos(g) + y * sin(g)) - min(x * cos(g) + y * sin(g))) * (max(y * cos(g) - x * sin(g)) - min(y * cos(g) - x * sin(g))) AS area FROM d JOIN p ON p.z = d.z GROUP BY d.z, g) SELECT z, round(min(area), 4) AS area FROM e GROUP BY z""")
 def oriented_boxes(spark, sf_dir):
-    return rounded(kernels.boxes(tile_rows(spark, sf_dir), "z"), "x", "y")
+    """The area of the least rectangle around the corners of a plane's tiles."""
+    t = tile_rows(spark, sf_dir)
+    corner = F.explode(F.array(*(F.struct((F.col("x") + a * F.col("sx")).alias("x"), (F.col("y") + b * F.col("sy")).alias("y")) for a in (0, 1) for b in (0, 1))))
+    box = kernels.boxes(t.select("z", corner.alias("c")).select("z", "c.x", "c.y"), "z")
+    at = {n: box.where(F.col("corner") == n).select("z", F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")) for n in range(3)}
+    side = lambda a, b: F.sqrt(F.pow(F.col(f"x{a}") - F.col(f"x{b}"), 2) + F.pow(F.col(f"y{a}") - F.col(f"y{b}"), 2))
+    return rounded(at[0].join(at[1], "z").join(at[2], "z").select("z", (side(0, 1) * side(1, 2)).alias("area")), "area", digits=4)
 
 
 AFF = "a AS (SELECT p_partkey AS k, radians(p_size::DOUBLE) AS g, (p_partkey % 13)::DOUBLE AS tx, (p_partkey % 7)::DOUBLE AS ty FROM part)"
