@@ -197,9 +197,9 @@ def _laplacian(volume: np.ndarray, sigma: float) -> np.ndarray:
     return total
 
 
-def corners(image: np.ndarray, most: int = 500, size: int = 9, sigma: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
+def corners(image: np.ndarray, most: int = 500, size: int = 9, sigma: float = 1.5, blur: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Harris corners (y, x) by strength and normalised patches around them as descriptors."""
-    dy, dx = np.gradient(gaussian(image, 1.0))
+    dy, dx = np.gradient(gaussian(image, blur))
     a, b, c = (gaussian(p, sigma) for p in (dx * dx, dy * dy, dx * dy))
     strength = a * b - c * c - 0.05 * (a + b) ** 2
     r = size // 2
@@ -225,6 +225,17 @@ def ransac(fixed: np.ndarray, moving: np.ndarray, threshold: float, trials: int
     return (similarity_fit(fixed[best], moving[best]) if best.sum() >= 2 else np.eye(3)), best
 
 
+def ransac_shift(fixed: np.ndarray, moving: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shift (3x3) from moving to fixed points that most of them agree with, each one's shift tried, refitted on these."""
+    shifts = fixed - moving
+    near = np.linalg.norm(shifts[:, None] - shifts[None], axis=2) <= threshold
+    best = near[int(np.argmax(near.sum(axis=1)))] if len(shifts) else np.zeros(0, bool)
+    out = np.eye(3)
+    if best.any():
+        out[:2, 2] = shifts[best].mean(axis=0)
+    return out, best
+
+
 def similarity_fit(fixed: np.ndarray, moving: np.ndarray, scaled: bool = True) -> np.ndarray:
     """Least squares rotation, scale and shift (Umeyama)."""
     mf, mm = fixed.mean(axis=0), moving.mean(axis=0)
@@ -405,16 +416,19 @@ def fixed_transform(fixed: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray,
     return np.array([[c, -s, 300], [s, c, 25], [0, 0, 1.0]]), 1.0
 
 
-def by_features(fixed: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, float]:
-    """Corners, best patches with a ratio test of 0.92, then RANSAC; quality is (inliers / keypoints) ^ (1/3)."""
-    (p, d), (q, e) = corners(fixed), corners(moving)
+def by_features(fixed: np.ndarray, moving: np.ndarray, kind: str = "similarity", sigma: float = 1.5, blur: float = 1.0) -> tuple[np.ndarray, float]:
+    """Corners, best patches with a ratio test of 0.92, then RANSAC over similarities or shifts; quality is (inliers / keypoints) ^ (1/3)."""
+    size = 9 if min(fixed.shape) >= 18 else 5
+    (p, d), (q, e) = corners(fixed, size=size, sigma=sigma, blur=blur), corners(moving, size=size, sigma=sigma, blur=blur)
     if len(p) < 2 or len(q) < 2:
         return np.eye(3), 0.0
     distance = np.linalg.norm(d[:, None] - e[None], axis=2)
     order = np.argsort(distance, axis=1)[:, :2]
     rows = np.arange(len(p))
     clear = distance[rows, order[:, 0]] < 0.92 * distance[rows, order[:, 1]]
-    t, inliers = ransac(p[clear][:, ::-1], q[order[clear, 0]][:, ::-1], 0.05 * np.mean(np.array(fixed.shape)) / np.sqrt(2))
+    threshold = 0.05 * np.mean(np.array(fixed.shape)) / np.sqrt(2)
+    a, b = p[clear][:, ::-1], q[order[clear, 0]][:, ::-1]
+    t, inliers = ransac_shift(a, b, threshold) if kind == "translation" else ransac(a, b, threshold)
     return (t, float((inliers.sum() / len(p)) ** (1 / 3))) if inliers.sum() >= 2 else (np.eye(3), 0.0)
 
 

@@ -35,7 +35,7 @@ def candidate(files: DataFrame) -> DataFrame:
 def file_labels(files: DataFrame) -> DataFrame:
     """(fileset, file, label) of ``files`` (fileset, file, path): the shortest rule that tells all of a fileset's files apart.
 
-    Numbers of the title, then of the whole path, then its numbers by place; else the title.
+    Numbers of the title, then of the whole path, then its numbers by place; else the title. The only file of a fileset has an empty label.
     """
     path = F.col("path")
     title, by_place = text.labelled_entries(text.file_title(path)), F.transform(text.numeric_parts(path), lambda p, i: F.struct(i.cast("string").alias("key"), p.alias("value"), F.lit("").alias("label")))

@@ -145,10 +145,6 @@ def downsampled(pixels: DataFrame, factor: int = 2) -> DataFrame:
     return pixels.groupBy("tile_id", "z", F.floor(F.col("y") / factor).alias("y"), F.floor(F.col("x") / factor).alias("x")).agg(F.avg("value").alias("value"))
 
 
-def inverted(value: Column, most: float) -> Column:
-    return F.lit(most) - value
-
-
 def gray(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
 

@@ -17,7 +17,7 @@ from weftwork.sources import chunks, files
 from weftwork.sources.fixtures import SIDE, table
 from weftwork.sources.fixtures import pixels as pixel_rows
 from weftwork.sources.fixtures import tiles as tile_rows
-from weftwork import queries_geometry, queries_images, queries_stitching, queries_values  # noqa: F401, I001  register their queries
+from weftwork import queries_geometry, queries_images, queries_sources, queries_stitching, queries_values  # noqa: F401, I001  register their queries
 
 TILES = "tiles AS (SELECT s_suppkey AS tile_id, (s_suppkey % 10) * 24.0::DOUBLE + s_acctbal / 10000.0::DOUBLE AS x, floor(s_suppkey / 10) * 24.0::DOUBLE AS y, s_nationkey::DOUBLE AS z, 25.6::DOUBLE AS s FROM supplier)"
 PIXELS = "pixels AS (SELECT vec_id AS tile_id, label AS z, ((p - 1) // 8)::INTEGER AS y, ((p - 1) % 8)::INTEGER AS x, embedding[p]::DOUBLE AS value FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS p))"

@@ -14,6 +14,15 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("modified"), "length").orderBy(text.numbers(F.col("path")), "path")
 
 
+def listed(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """(path) of files and image stores by patterns with * in any part, as URIs."""
+    out = []
+    for pattern in patterns:
+        file, store = _path(spark, pattern)
+        out += [status.getPath().toString() for status in store.globStatus(file) or ()]
+    return spark.createDataFrame([(p,) for p in sorted(out)], "path string")
+
+
 def filesets(files: DataFrame, label: str | None) -> DataFrame:
     """(fileset, path): files by the number after a label; those without it are left out, and all are set 0 where none has it."""
     keyed = files.select("path", text.target_number(F.col("path"), label).alias("fileset"))
