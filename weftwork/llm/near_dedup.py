@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import Bloom, Scratch, batch_of, binary_array, chunks, hashes_of, mixed, unused
+from weftwork.llm.common import BLOOM_MAX_BITS, Bloom, Scratch, batch_of, binary_array, chunks, hashes_of, mixed, unused
 from weftwork.llm.components import components
 
 BANDS, ROWS, BATCH = 32, 5, 32
 #: In the second round: documents of a band of which pairs are listed; documents of a block, of which a task compares two.
 FEW, BLOCK = 16, 64
+#: Documents with candidates that a Bloom filter is made for, at least 4 bits each; more are told by a join.
+MOST_MEMBERS = BLOOM_MAX_BITS // 4
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,12 +124,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(schema, keys, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))
 
 
-def _payload(size: int, wanted: Bloom):
+def _payload(size: int, wanted: Bloom | None):
     schema = pa.schema([("doc", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.test(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted.test(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
             for first, texts in chunks(batch.column(1)):
                 sets = [(i, s) for i, t in enumerate(texts, first) if len(s := shingle_set(t, size))]
                 if sets:
@@ -189,8 +192,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     held = members.count()
     found = classes.select("doc").where("false").select("doc", F.col("doc").alias("component"))
     if held:
-        wanted = Bloom(spark, members, held)
-        payload = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_payload(shingle_words, wanted), "doc long, signature binary, shingles binary")
+        held_texts = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
+        if held <= MOST_MEMBERS:
+            wanted = Bloom(spark, members, held)
+        else:  # more than a filter tells apart
+            wanted, held_texts = None, held_texts.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+        payload = held_texts.mapInArrow(_payload(shingle_words, wanted), "doc long, signature binary, shingles binary")
         payload = scratch.write(payload, "payload")
         found = _link(scratch, active, payload, percent, miss)
     ties = _ties(scratch, named, classes)
