@@ -3,6 +3,11 @@
 toxicity: predicted toxic documents go; near duplicates: one document of each group stays; benchmark
 decontamination: documents that hold a test item go; personal data: values become pseudonyms;
 SentencePiece: each document becomes two sampled segmentations.
+
+Null and empty texts are clean, alone and without personal data: they stay, and their segmentations are empty.
+Rows that repeat a doc_id stay or go together. Columns beside doc_id and text are carried along, whatever their names;
+n_chars is made anew. An empty table stays empty. The pseudonyms' key is the session's, spark.weftwork.pseudonymKey.
+A stage's table is dropped where the next one's is written.
 """
 
 from __future__ import annotations
@@ -42,7 +47,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each written and read again."""
-    scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch, docs, before = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = name
     return docs

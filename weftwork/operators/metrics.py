@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions import units
+from weftwork.operators.pixels import large_quantiles
 
 
 def _inverse(value: Column) -> Column:
@@ -68,5 +69,5 @@ def channel_windows(pixels: DataFrame, channels: DataFrame, dtype: str) -> DataF
     named = channels.select("c", F.concat(F.lit("Channel "), F.col("c").cast("string")).alias("label"), units.hex_rgb(F.coalesce("color", white)).alias("color"))
     if bits == 8:
         return named.select("*", F.lit(start).alias("start"), F.lit(end).alias("end_"), F.lit(start).alias("min"), F.lit(end).alias("max"))
-    q = pixels.groupBy("c").agg(F.percentile("value", F.array(F.lit(0.001), F.lit(0.999))).alias("q"))
-    return named.join(q, "c").select("c", "label", "color", F.lit(start).alias("start"), F.lit(end).alias("end_"), F.col("q")[0].alias("min"), F.col("q")[1].alias("max"))
+    q = large_quantiles(pixels, ["c"], [0.001, 0.999])
+    return named.join(q, "c").select("c", "label", "color", F.lit(start).alias("start"), F.lit(end).alias("end_"), F.col("q0").alias("min"), F.col("q1").alias("max"))

@@ -21,6 +21,31 @@ def quantiles(pixels: DataFrame, by: list[str], at: list[float]) -> DataFrame:
     return found.select(*by, *(F.col("q")[i].alias(f"q{i}") for i in range(len(at))))
 
 
+def large_quantiles(pixels: DataFrame, by: list[str], at: list[float], bins: int = 4096) -> DataFrame:
+    """The same for few groups of many pixels: no task holds a group's values.
+
+    A first pass counts distinct values in equal bins between a group's ends; only the bins that hold a wanted rank
+    are then put in order. Missing values and null keys take no part.
+    """
+    counted = pixels.where("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n"))
+    ends = counted.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("total"))
+    place = F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
+    binned = counted.join(ends, by).withColumn("bin", F.when(F.col("high") > F.col("low"), place).otherwise(0))
+    ranks = [(i, e, F.floor(q * (F.col("total") - 1)) if e == 0 else F.ceil(q * (F.col("total") - 1))) for i, q in enumerate(at) for e in (0, 1)]
+    wanted = ends.select(*by, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(e).alias("e"), k.cast("long").alias("k")) for i, e, k in ranks))).alias("w")).select(*by, "w.*")
+    order = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # ``bins`` rows for each group
+    held = binned.groupBy(*by, "bin").agg(F.sum("n").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(order), F.lit(0)))
+    picked = held.join(wanted, by).where("k >= before AND k < before + held").select(*by, "bin", "before", "i", "e", "k")
+    inside = binned.join(picked.select(*by, "bin", "before").distinct(), [*by, "bin"])
+    upto = F.sum("n").over(W.partitionBy(*by, "bin").orderBy("value").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
+    inside = inside.select(*by, "bin", "value", (upto - F.col("n")).alias("a"), upto.alias("b"))
+    found = inside.join(picked.drop("before"), [*by, "bin"]).where("k >= a AND k < b")
+    end = lambda i, e: F.max(F.when((F.col("i") == i) & (F.col("e") == e), F.col("value")))
+    out = found.groupBy(*by).agg(*(end(i, e).alias(f"v{i}_{e}") for i in range(len(at)) for e in (0, 1))).join(ends, by)
+    part = lambda q: q * (F.col("total") - 1) - F.floor(q * (F.col("total") - 1))
+    return out.select(*by, *((F.col(f"v{i}_0") + (F.col(f"v{i}_1") - F.col(f"v{i}_0")) * part(q)).alias(f"q{i}") for i, q in enumerate(at)))
+
+
 def foreground(pixels: DataFrame) -> DataFrame:
     """(tile_id, difference, is_foreground): mean distance to the median image, above its mean; all where none or few are."""
     median = pixels.groupBy("y", "x").agg(F.percentile("value", F.lit(0.5)).alias("median"))

@@ -178,7 +178,7 @@ def norm_quantiles(spark, sf_dir):
 
 @query(f"WITH {PIXELS} SELECT z, round(quantile_cont(value, 0.001), 6) + 0.0::DOUBLE AS q0, round(quantile_cont(value, 0.999), 6) + 0.0::DOUBLE AS q1 FROM pixels GROUP BY z")
 def channel_window(spark, sf_dir):
-    return rounded(pixels.quantiles(pixel_rows(spark, sf_dir), ["z"], [0.001, 0.999]), "q0", "q1")
+    return rounded(pixels.large_quantiles(pixel_rows(spark, sf_dir), ["z"], [0.001, 0.999]), "q0", "q1")
 
 
 @query(f"WITH {PIXELS} SELECT tile_id, round(quantile_cont(value, 0.01), 6) + 0.0::DOUBLE AS q0, round(quantile_cont(value, 0.99), 6) + 0.0::DOUBLE AS q1 FROM pixels GROUP BY tile_id")
@@ -341,9 +341,7 @@ def missing_identity(spark, sf_dir):
 
 def _checkpointed(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftwork-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or queries_sources.shared(spark, "checkpoints"))
 
 
 @query(f"WITH RECURSIVE {EDGES}, u AS (SELECT i AS a, j AS b FROM edges UNION SELECT j, i FROM edges), r AS (SELECT tile_id AS t, tile_id AS c FROM tiles UNION SELECT r.t, u.b FROM r JOIN u ON r.c = u.a) SELECT t AS tile_id, min(c) AS component FROM r GROUP BY t")
