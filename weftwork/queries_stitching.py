@@ -33,7 +33,7 @@ def scene_tiles(spark, sf_dir) -> DataFrame:
 def _registered(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     images = scene_tiles(spark, sf_dir).persist()
     edges = stitch.register(images, tiles.pairs(stitch.boxes(images)), "peaks", subpixel=False).persist()
-    return images, edges, stitch.resolve(edges.where("quality >= 0.5"), images.select("tile_id")).persist()
+    return images, edges, stitch.resolve(edges.where("quality >= 0.9"), images.select("tile_id")).persist()
 
 
 @query("SELECT vec_id AS y, x::BIGINT AS x, round(embedding[x + 1]::DOUBLE, 6) + 0.0::DOUBLE AS value FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS x)")
