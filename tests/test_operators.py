@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftwork.functions import affine, text, units
+from weftwork.functions import affine, dims, text, units
 from weftwork.operators import graph, kernels, matching, pixels, tiles
 from weftwork.sources import chunks, ngff
 
@@ -40,6 +40,16 @@ def test_text(spark):
         text.arithmetic("__import__('os')", {"x"})
 
 
+def test_fixed_decimals(spark):
+    """As C prints: exact values, ties to even; units up to the largest."""
+    xs = [k / 1024 for k in range(0, 9000, 7)] + [k / 20 for k in range(999)] + [k / 7 for k in range(51)] + [0.0005, 2.675, 0.25, 0.75, 0.9996, -0.25, -0.04, -0.0, 123456789012345.67, 2.0**52 + 0.5, 1e15 + 0.125, float("nan"), float("inf"), float("-inf")]
+    for row in spark.createDataFrame([(x,) for x in xs], "x double").select("x", *(text.fixed(F.col("x"), d).alias(f"d{d}") for d in (0, 1, 3))).collect():
+        assert tuple(row[1:]) == tuple(f"{row.x:.{d}f}" for d in (0, 1, 3))
+    assert one(spark, text.fixed(F.lit(None).cast("double"), 1)) is None
+    assert one(spark, text.human_bytes(F.lit(5376))) == "5.2KB" and one(spark, text.human_bytes(F.lit(3 << 30))) == "3.0GB" and one(spark, text.human_bytes(F.lit(3 << 30), "MB")) == "3072.0MB"
+    assert one(spark, dims.shown(F.create_map(F.lit("b"), F.lit(0.0625), F.lit("a"), F.lit(0.1875)))) == "a: 0.188 b: 0.062"
+
+
 def test_grid_pairs_equal_nested_loop(spark):
     r = np.random.default_rng(3)
     at = [(i, float(x), float(y), float(z), 25.6, 25.6) for i, (x, y, z) in enumerate(np.c_[r.uniform(-200, 200, (150, 2)), r.integers(0, 3, 150)])]

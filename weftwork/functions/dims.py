@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftwork.functions.text import fixed, human_bytes
+
 
 def _dims(dims: str) -> Column:
     return F.array(*(F.lit(d) for d in dims))
@@ -101,13 +103,13 @@ def updated(values: Column, key: str, value: Column) -> Column:
 
 def shown(values: Column) -> Column:
     """"k: v" of each entry of a map of doubles, by key, with three decimals."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(values)), lambda e: F.format_string("%s: %.3f", e["key"], e["value"])), " ")
+    return F.array_join(F.transform(F.array_sort(F.map_entries(values)), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(fixed(e["value"], 3), F.lit("null")))), " ")
 
 
 def shown_dims(values: Column, dims: str = "xyz", decimals: int = 3, bare: bool = False) -> Column:
     """"x:1.000 y:2.000" in the order of dimensions, without those that are missing."""
-    form = f"%.{decimals}f"
-    parts = F.transform(F.filter(_dims(dims), lambda d: F.map_contains_key(values, d)), lambda d: F.format_string(form, F.element_at(values, d)) if bare else F.format_string(f"%s:{form}", d, F.element_at(values, d)))
+    number = lambda d: F.coalesce(fixed(F.element_at(values, d), decimals), F.lit("null"))
+    parts = F.transform(F.filter(_dims(dims), lambda d: F.map_contains_key(values, d)), lambda d: number(d) if bare else F.concat(d, F.lit(":"), number(d)))
     return F.array_join(parts, " ")
 
 
@@ -116,14 +118,12 @@ def shown_tree(value: Column) -> Column:
     return F.to_json(value, {"pretty": "true"})
 
 
-def size_info(sizes: Column, pixel_bytes: Column, dtype: Column, channels: Column) -> Column:
-    """A line on an image's levels (arrays x, y, z, c, t): sizes, type, bytes in all, channels."""
-    from weftwork.functions.text import human_bytes
-
+def size_info(sizes: Column, pixel_bytes: Column, dtype: Column, channels: Column, largest: str = "TB") -> Column:
+    """A line on an image's levels (arrays x, y, z, c, t): sizes, type, bytes in all (in units up to the largest), channels."""
     each = F.array_join(F.transform(sizes, lambda s: F.concat(F.lit(" "), F.array_join(F.transform(s, lambda n: n.cast("string")), " "))), ",")
     total = F.aggregate(sizes, F.lit(0).cast("long"), lambda acc, s: acc + F.aggregate(s, F.lit(1).cast("long"), lambda a, n: a * n)) * pixel_bytes
     names = F.when(sizes[0][3] == 3, F.lit("rgb")).otherwise(F.array_join(channels, ","))
-    text = F.concat(F.lit("XYZCT:"), each, F.lit(" Pixel type: "), dtype, F.lit(" Uncompressed: "), human_bytes(total))
+    text = F.concat(F.lit("XYZCT:"), each, F.lit(" Pixel type: "), dtype, F.lit(" Uncompressed: "), human_bytes(total, largest))
     return F.when(names != "", F.concat(text, F.lit(" Channels: "), names)).otherwise(text)
 
 

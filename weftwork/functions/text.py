@@ -55,12 +55,44 @@ def number_or_text(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([0-9.]+|[^0-9.]+)"), 1)
 
 
-def human_bytes(n: Column) -> Column:
-    """1024-based size with one decimal; a unit is used above, not at, its size."""
-    out = F.format_string("%.1f%s", n.cast("double"), F.lit("B"))
-    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n > 1024**power, F.format_string("%.1f%s", n / float(1024**power), F.lit(unit))).otherwise(out)
-    return out
+def fixed(x: Column, decimals: int) -> Column:
+    """A double with some decimals as C and Python print it: its exact value rounded, ties to an even digit.
+
+    Java's formats round the shortest digits that stand for a double, and halves up. From 2^63 on the digits are Java's.
+    """
+    scale = 10.0**decimals
+    split = lambda v: v * 134217729.0 - (v * 134217729.0 - v)  # noqa: E731  a double's upper half; what is left has the lower
+    high = float(scale * 134217729.0 - (scale * 134217729.0 - scale))
+
+    def digits(a: Column) -> Column:
+        part = F.struct((a - F.floor(a)).alias("f"), (F.rint(a) if decimals == 0 else F.floor(a)).cast("long").alias("whole"))
+        halves = let(part, lambda p: F.struct(p["whole"].alias("whole"), p["f"].alias("f"), (p["f"] * scale).alias("p"), split(p["f"]).alias("h")))
+
+        def rounded(p: Column) -> Column:
+            low = p["f"] - p["h"]
+            error = p["h"] * high - p["p"] + p["h"] * (scale - high) + low * high + low * (scale - high)  # of the product, exact
+            tie = p["p"] - F.floor(p["p"]) == 0.5
+            return F.struct(p["whole"].alias("whole"), F.when(tie & (error > 0), F.ceil(p["p"])).when(tie & (error < 0), F.floor(p["p"])).otherwise(F.rint(p["p"])).cast("long").alias("r"))
+
+        def shown(p: Column) -> Column:
+            full = (p["r"] >= int(scale)).cast("long")
+            return F.concat((p["whole"] + full).cast("string"), F.lit("."), F.lpad((p["r"] - full * int(scale)).cast("string"), decimals, "0"))
+
+        return let(part, lambda p: p["whole"].cast("string")) if decimals == 0 else let(let(halves, rounded), shown)
+
+    x = x.cast("double")
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
+    infinite = F.abs(x) == float("inf")
+    body = F.when(infinite, "inf").when(F.abs(x) < 2.0**63, let(F.abs(x), digits)).otherwise(F.format_string(f"%.{decimals}f", F.abs(x)))
+    return F.when(F.isnan(x), "nan").when(x.isNotNull(), F.concat(sign, body))
+
+
+def human_bytes(n: Column, largest: str = "TB") -> Column:
+    """1024-based size with one decimal; a unit up to the largest is used above, not at, its size."""
+    size, unit, names = n.cast("double"), F.lit("B"), ("KB", "MB", "GB", "TB")
+    for power, name in enumerate(names[: names.index(largest) + 1], 1):
+        size, unit = F.when(n > 1024**power, n / float(1024**power)).otherwise(size), F.when(n > 1024**power, F.lit(name)).otherwise(unit)
+    return F.concat(fixed(size, 1), unit)
 
 
 def significant(x: Column, digits: int) -> Column:
