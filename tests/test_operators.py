@@ -110,6 +110,14 @@ def test_points_and_boxes():
     assert kernels.frc(image, image)[:5] == pytest.approx(1)
 
 
+def test_drift_of_many_points():
+    """A round cloud, in which single steps are small: turn, scale and shift come out whole."""
+    points = np.random.default_rng(2).normal(0, 0.125, (500, 2))
+    c, s = np.cos(np.radians(10)), np.sin(np.radians(10))
+    t = kernels.cpd(points @ np.array([[c, -s], [s, c]]).T + (2, -1), points)
+    assert t.ravel() == pytest.approx([c, -s, 2, s, c, -1, 0, 0, 1], abs=1e-4)
+
+
 def test_single_tile_fuses_to_itself(spark):
     px = spark.createDataFrame([(1, 0, y, x, float(y * x)) for y in range(3) for x in range(3)], "tile_id long, z int, y int, x int, value double")
     for how in ("mean", "sum", "max", "exclusive"):
