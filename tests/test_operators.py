@@ -172,6 +172,16 @@ def test_translations_of_many_tiles(spark, monkeypatch):
     assert found.keys() == whole.keys() and all(found[k] == pytest.approx(whole[k], abs=1e-9) for k in whole)
 
 
+def test_graph_rounds_keep_small_estimates(spark):
+    """A chain takes several rounds, whose plans must not multiply the estimates of the rounds before; hops end where asked."""
+    tiles_ = spark.range(60).select(F.col("id").alias("tile_id"))
+    edges = tiles_.where("tile_id < 59").select(F.col("tile_id").alias("i"), (F.col("tile_id") + 1).alias("j"), affine.identity().alias("matrix"), F.lit(1.0).alias("quality"))
+    found = graph.components(edges, tiles_)
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length() < 40
+    assert {r.component for r in found.collect()} == {0} and found.count() == 60
+    assert sorted((r.tile_id, r.hops) for r in graph.shortest_paths(edges, tiles_, most=5).collect()) == [(k, k) for k in range(6)]
+
+
 def test_overlaps_of_far_tiles(spark):
     at = [(0, 0.0, 0.0, 1.0), (1, 0.6, 0.0, 1.0), (2, 9.9, 9.9, 1.0), (3, 13.9, 13.9, 1.0), (4, 9.9, 14.1, 1.0), (5, 200.0, -80.0, 1.0), (6, 100.0, 3.0, 1.5)]
     df = spark.createDataFrame([(i, x, y, 0.0, s, s) for i, x, y, s in at], "tile_id long, x double, y double, z double, sx double, sy double")
