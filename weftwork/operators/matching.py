@@ -79,20 +79,45 @@ def nn_distance(points: DataFrame, by: str) -> DataFrame:
     return points.select(by).distinct().join(least.groupBy(by).agg(F.percentile("d", F.lit(0.5)).alias("nn")), by, "left").select(by, F.coalesce("nn", F.lit(1.0)).alias("nn"))
 
 
+#: Distances that an assignment holds at a time.
+CELLS = 1 << 18
+
+
+def _distances(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Distances of the differences, part by part; what isn't a number is infinitely far."""
+    square = np.zeros((len(some), len(others)))
+    for a in range(some.shape[1]):
+        part = np.subtract.outer(some[:, a], others[:, a])
+        part *= part
+        square += part
+    np.sqrt(square, out=square)
+    square[np.isnan(square)] = np.inf
+    return square
+
+
 def assignment(fixed: np.ndarray, moving: np.ndarray, threshold: float, ratio: float | None = None) -> list[tuple[int, int, float, bool]]:
-    """(fixed, moving, distance, inlier), one-to-one, greedy by each fixed point's nearest distance."""
-    distances = np.linalg.norm(fixed[:, None] - moving[None], axis=2)
+    """(fixed, moving, distance, inlier), one-to-one, greedy by each fixed point's nearest distance.
+
+    Distances are made twice, some rows at a time, and never held whole: once for the order, once along it.
+    """
+    if not len(fixed) or not len(moving):
+        return []
+    block = max(1, CELLS // len(moving))
+    least = np.concatenate([_distances(fixed[k : k + block], moving).min(axis=1) for k in range(0, len(fixed), block)])
+    order = np.lexsort((np.arange(len(fixed)), least))
     taken, out = np.zeros(len(moving), bool), []
-    for i in np.lexsort((np.arange(len(fixed)), distances.min(axis=1))) if len(moving) else []:
-        free = np.where(taken, np.inf, distances[i])
-        order = np.argsort(free, kind="stable")
-        best = free[order[0]]
-        if not np.isfinite(best):
-            continue
-        clear = ratio is None or len(order) < 2 or best < ratio * free[order[1]]
-        inlier = bool(best < threshold and clear)
-        taken[order[0]] |= inlier
-        out.append((int(i), int(order[0]), float(best), inlier))
+    for k in range(0, len(order), block):
+        rows = order[k : k + block]
+        for i, free in zip(rows, _distances(fixed[rows], moving), strict=True):
+            free[taken] = np.inf
+            at = int(np.argmin(free))
+            best = free[at]
+            if not np.isfinite(best):
+                continue
+            free[at] = np.inf
+            inlier = bool(best < threshold and (ratio is None or best < ratio * free.min()))
+            taken[at] |= inlier
+            out.append((int(i), at, float(best), inlier))
     return out
 
 
