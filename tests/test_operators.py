@@ -200,6 +200,24 @@ def test_graph_rounds_keep_small_estimates(spark):
     assert sorted((r.tile_id, r.hops) for r in graph.shortest_paths(edges, tiles_, most=5).collect()) == [(k, k) for k in range(6)]
 
 
+def test_hops_of_long_ways(spark, monkeypatch):
+    """A chain of 90 tiles, cut into blocks that it crosses up and down, a ring, and tiles without edges."""
+    chain = [*range(44, -1, -2), *range(1, 90, 2), *range(88, 44, -2)]
+    links = [*zip(chain, chain[1:]), *((100 + k, 100 + (k + 1) % 7) for k in range(7)), (100, 100)]
+    edges = spark.createDataFrame([(i, j, [1.0, 0.0, float(i + 1), 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], 1.0) for i, j in links], "i long, j long, matrix array<double>, quality double")
+    tiles_ = spark.range(110).select(F.col("id").alias("tile_id"))
+    wanted = {t: abs(k - chain.index(0)) for k, t in enumerate(chain)} | {100 + k: min(k, 7 - k) for k in range(7)} | dict.fromkeys([*range(90, 100), 107, 108, 109], 0)
+    for rows_ in (1 << 18, 100):
+        monkeypatch.setattr(graph, "WALK_ROWS", rows_)
+        assert dict(graph.hops(edges, tiles_).collect()) == wanted
+    found = {x.tile_id: (x.hops, x.matrix) for x in graph.shortest_paths(edges, tiles_).collect()}
+    assert {t: h for t, (h, _) in found.items()} == wanted
+    at = chain.index(0)
+    assert found[chain[-1]][1][2] == sum(i + 1 for i in chain[at:-1]) and found[chain[0]][1][2] == -sum(i + 1 for i in chain[:at])
+    assert {x.tile_id: x.hops for x in graph.hops(edges, tiles_, 103).collect()} == {100 + k: abs(k - 3) for k in range(7)}
+    assert {x.tile_id: x.hops for x in graph.hops(edges.limit(0), tiles_).collect()} == dict.fromkeys(range(110), 0)
+
+
 def test_overlaps_of_far_tiles(spark):
     at = [(0, 0.0, 0.0, 1.0), (1, 0.6, 0.0, 1.0), (2, 9.9, 9.9, 1.0), (3, 13.9, 13.9, 1.0), (4, 9.9, 14.1, 1.0), (5, 200.0, -80.0, 1.0), (6, 100.0, 3.0, 1.5)]
     df = spark.createDataFrame([(i, x, y, 0.0, s, s) for i, x, y, s in at], "tile_id long, x double, y double, z double, sx double, sy double")
