@@ -136,6 +136,34 @@ def test_drift_of_many_points():
     assert t.ravel() == pytest.approx([c, -s, 2, s, c, -1, 0, 0, 1], abs=1e-4)
 
 
+def test_gauss_sums(monkeypatch):
+    """Polynomials, grids and near pairs give what all pairs give, with a point far out and on lines."""
+    r = np.random.default_rng(3)
+    at, to = np.vstack((r.normal(0, 0.125, (1500, 2)), [[1.5, -1]])), r.normal(0.1, 0.125, (1300, 2))
+    weights = np.column_stack((np.ones(1501), r.normal(0, 1, (1501, 2))))
+    used, grid, polynomials = set(), kernels._by_grid, kernels._by_polynomials
+    monkeypatch.setattr(kernels, "_by_grid", lambda *a: used.add("grid") or grid(*a))
+    monkeypatch.setattr(kernels, "_by_polynomials", lambda *a: used.add("polynomials") or polynomials(*a))
+    for spread, way in ((0.1, {"polynomials"}), (3e-3, {"grid"}), (1e-6, set())):
+        for a, t in ((at, to), (at * [1, 0], to * [1, 0]), (at, to[:1])):
+            wanted = np.exp(((t[:, None] - a) ** 2).sum(axis=2) * (-0.5 / spread)) @ weights
+            used.clear()
+            assert kernels.gauss_sums(a, weights, t, spread) == pytest.approx(wanted, abs=1e-8)
+            if t.size > 2 and t[0, 1]:
+                assert used == way
+
+
+def test_drift_deals_groups_to_tasks(spark):
+    """Each group of a small table is one task's, and a large set comes out as small ones do."""
+    points = np.random.default_rng(4).normal(0, [0.1, 0.15], (2700, 2))
+    rows_ = [(int(k > 2400) * (1 + k % 5), float(x), float(y)) for k, (x, y) in enumerate(points)]
+    found = kernels.drifted(spark.createDataFrame(rows_, "label int, x double, y double"), "label", 10.0, (2.0, -1.0)).select("label", "m", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.label for r in found) == list(range(6)) and len({r.task for r in found}) == 6
+    c, s = np.cos(np.radians(10)), np.sin(np.radians(10))
+    for r in found:
+        assert r.m == pytest.approx([c, -s, 2, s, c, -1, 0, 0, 1], abs=1e-4)
+
+
 def test_single_tile_fuses_to_itself(spark):
     px = spark.createDataFrame([(1, 0, y, x, float(y * x)) for y in range(3) for x in range(3)], "tile_id long, z int, y int, x int, value double")
     for how in ("mean", "sum", "max", "exclusive"):
